@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
-import html
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql.functions import arrow_udf
 
+def _decoder(as_list: bool):
+    """Arrow function over strings or lists of strings.
 
-def _decode(values: pa.Array) -> pa.Array:
-    """Decode the values that hold an ampersand; the others pass through untouched."""
-    marked = pc.fill_null(pc.match_substring(values, "&"), False)
-    if not pc.any(marked).as_py():
-        return values
-    decoded = [html.unescape(text) for text in values.filter(marked).to_pylist()]
-    return pc.replace_with_mask(values, marked, pa.array(decoded, values.type))
+    Defined inside a function so that it is shipped by value: executors need no copy of this package.
+    """
 
+    def decode(values):
+        import html
 
-@arrow_udf("string")
-def unescape(text: pa.Array) -> pa.Array:
-    return _decode(text)
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        marked = pc.fill_null(pc.match_substring(values, "&"), False)
+        if not pc.any(marked).as_py():
+            return values
+        decoded = [html.unescape(text) for text in values.filter(marked).to_pylist()]
+        return pc.replace_with_mask(values, marked, pa.array(decoded, values.type))
 
-@arrow_udf("array<string>")
-def unescape_each(texts: pa.Array) -> pa.Array:
-    values = _decode(texts.flatten())
-    lengths = pc.fill_null(pc.list_value_length(texts), 0)
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
-    return pa.ListArray.from_arrays(offsets, values, mask=pc.is_null(texts))
+    def decode_text(texts):
+        return decode(texts)
+
+    def decode_lists(lists):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lengths = pc.fill_null(pc.list_value_length(lists), 0)
+        ends = pc.cumulative_sum(lengths).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, decode(lists.flatten()), mask=pc.is_null(lists))
+
+    if as_list:
+        return F.arrow_udf(decode_lists, T.ArrayType(T.StringType()))
+    return F.arrow_udf(decode_text, T.StringType())
+
+
+def unescape(text: Column) -> Column:
+    """Decode character references; texts without an ampersand pass through untouched."""
+    return _decoder(False)(text)
+
+
+def unescape_each(texts: Column) -> Column:
+    """The same for every element of an array of texts."""
+    return _decoder(True)(texts)
