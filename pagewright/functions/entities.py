@@ -11,6 +11,8 @@ def _decoder(as_list: bool):
     """Arrow function over strings or lists of strings.
 
     Defined inside a function so that it is shipped by value: executors need no copy of this package.
+    Declared non-deterministic only to keep the optimizer from pushing later filters below it, which
+    would run the extraction once for the filter and once more for the result.
     """
 
     def decode(values):
@@ -38,8 +40,8 @@ def _decoder(as_list: bool):
         return pa.ListArray.from_arrays(offsets, decode(lists.flatten()), mask=pc.is_null(lists))
 
     if as_list:
-        return F.arrow_udf(decode_lists, T.ArrayType(T.StringType()))
-    return F.arrow_udf(decode_text, T.StringType())
+        return F.arrow_udf(decode_lists, T.ArrayType(T.StringType())).asNondeterministic()
+    return F.arrow_udf(decode_text, T.StringType()).asNondeterministic()
 
 
 def unescape(text: Column) -> Column:

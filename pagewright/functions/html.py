@@ -194,7 +194,10 @@ def segments(markup: Column) -> Column:
                 name.alias("name"),
                 mark.startswith("</").alias("closing"),
                 (name.isin(*CONTAINER_TAGS) & _is_comment_container(mark)).alias("comments"),
-                _lines(after(piece, F.length(mark))).alias("text"),
+                F.concat(
+                    F.when(name.isin(*fixed.BLOCK_TAGS), F.lit("\n")).otherwise(F.lit("")),
+                    _lines(after(piece, F.length(mark))),
+                ).alias("text"),
                 F.when((name == "a") & ~mark.startswith("</"), attribute(mark, "href"))
                 .otherwise(F.lit(""))
                 .alias("link"),

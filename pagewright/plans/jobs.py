@@ -14,6 +14,7 @@ from pagewright.operators.links import link_edges, with_links
 from pagewright.operators.robots import with_robots_verdict
 from pagewright.operators.sites import site_counts
 from pagewright.schemas import CrawlParams
+from pagewright.storage import materialize
 from pagewright.sources.fetched import fetch_failed, is_html, one_per_url, with_canonical_url
 
 
@@ -37,13 +38,19 @@ def page_docs(
     return docs, judged.where("reason is not null").select("url", "reason")
 
 
+def _fetch_error() -> Column:
+    status = F.concat(F.lit("status "), F.col("status").cast("string"))
+    return F.concat(F.lit("fetch-error: "), F.coalesce(status, F.lit("not fetched")))
+
+
+def _not_html() -> Column:
+    return F.concat(F.lit("non-html-content-type: "), F.coalesce("content_type", F.lit("")))
+
+
 def extraction_reason() -> Column:
     """Why a fetched row gives no document, or NULL."""
-    error = F.concat(F.lit("fetch-error: "), F.coalesce(F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("not fetched")))
-    return F.when(fetch_failed(F.col("status"), F.col("html").isNotNull()), error).when(
-        ~is_html(F.col("content_type")),
-        F.concat(F.lit("non-html-content-type: "), F.coalesce("content_type", F.lit(""))),
-    )
+    failed = fetch_failed(F.col("status"), F.col("html").isNotNull())
+    return F.when(failed, _fetch_error()).when(~is_html(F.col("content_type")), _not_html())
 
 
 def discover(
@@ -85,34 +92,34 @@ def site_run(
     asked = seeds.canonical_seeds(starts.unionByName(explicit.select("site_id", "raw_url")), sites)
     judged = asked.withColumn("reason", seeds.seed_reason(F.col("url"), F.col("start_host"), params))
     judged = judged.withColumn("url", F.when(F.col("url") == "", F.col("raw_url")).otherwise(F.col("url")))
+    judged = materialize(judged.select("site_id", "url", "reason"))
     wanted, seed_skips = seeds.split_by_reason(judged)
     budgeted = seeds.page_budget(entries, params.max_pages)
     visit = seeds.page_budget(seeds.merge_seeds(budgeted, wanted), params.max_pages)
-    skips = [seed_skips]
-    if discovery_skips is not None:
-        skips.append(discovery_skips.select("site_id", "url", "reason"))
     if params.respect_robots and robots is not None:
-        verdict = with_robots_verdict(visit, robots)
-        skips.append(verdict.where("not allowed").select("site_id", "url", F.lit(fixed.ROBOTS).alias("reason")))
-        visit = verdict.where("allowed").drop("allowed")
-    index = one_per_url(fetched.drop("html"), order)
-    located = fetch_join(visit, index)
-    missing = F.when(fetch_failed(F.col("status"), F.lit(True)), F.concat(F.lit("fetch-error: "), F.coalesce(F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("not fetched"))))
-    reason = missing.when(
-        ~is_html(F.col("content_type")), F.concat(F.lit("non-html-content-type: "), F.col("content_type"))
+        visit = with_robots_verdict(visit, robots)
+    else:
+        visit = visit.withColumn("allowed", F.lit(True))
+    located = fetch_join(visit, one_per_url(fetched.drop("html"), order))
+    failed = fetch_failed(F.col("status"), F.lit(True))
+    reason = (
+        F.when(~F.col("allowed"), F.lit(fixed.ROBOTS))
+        .when(failed, _fetch_error())
+        .when(~is_html(F.col("content_type")), _not_html())
+    )
+    located = materialize(
+        located.select("site_id", "url", "depth", "allowed", order, reason.alias("reason"))
     )
-    judged_pages = located.withColumn("reason", reason)
-    skips.append(judged_pages.where("reason is not null").select("site_id", "url", "reason"))
-    usable = judged_pages.where("reason is null").select("site_id", "url", order)
     # Texts are extracted next to the scan, so the join moves texts and not HTML.
     texts = extract.build_page_docs(fetched, min_text_chars, api_candidates, stamp).drop("url")
-    pages = usable.join(texts.select(order, *[c for c in texts.columns if c != order]), order).drop(order)
-    skipped = skips[0]
-    for part in skips[1:]:
-        skipped = skipped.unionByName(part)
-    sitemap = visit.select("site_id", "url", "depth")
+    usable = located.where("reason is null").select("site_id", "url", order)
+    pages = materialize(usable.join(texts, order).drop(order))
+    skipped = seed_skips.unionByName(located.where("reason is not null").select("site_id", "url", "reason"))
+    if discovery_skips is not None:
+        skipped = discovery_skips.select("site_id", "url", "reason").unionByName(skipped)
+    sitemap = located.where("allowed").select("site_id", "url", "depth")
     timed = sites.select("site_id", "start_url", stamp.alias("started_at"), stamp.alias("finished_at"))
-    return SiteRun(site_counts(timed, sitemap, pages), sitemap, pages, skipped)
+    return SiteRun(materialize(site_counts(timed, sitemap, pages)), sitemap, pages, skipped)
 
 
 def fetch_join(visit: DataFrame, index: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pagewright.functions import entities, fixed, html, text, urls
 from pagewright.operators import api, crawl, extract, links, render, robots, seeds, sites
 from pagewright.plans import jobs
 from pagewright.schemas import CrawlParams
+
 from pagewright.sources import fetched as fetched_source
 from pagewright.sources import robots as robots_source
 from pagewright.sources import sitemaps
@@ -21,7 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-STAMP = F.lit  # set lazily: columns need a session
 PATTERNS_DENY = ["*.example.net/[!e]?/*", "*casino*"]
 PATTERNS_ALLOW = ["http*://*.example.???/*", "*/en/*.html"]
 BUDGET = 3
@@ -285,6 +286,7 @@ SHAPED_URLS = f"""WITH {S.LINKS}, shaped AS (
 )"""
 
 
+@functools.lru_cache(maxsize=None)
 def shaped_urls(spark, sf):
     pages = T.pages(spark, sf).select("page_id", "url")
     head = F.regexp_extract("url", "^([^?#]*)", 1)
@@ -388,6 +390,7 @@ SEEDS_SQL = f"""WITH {S.SITES}, seeds AS (
 )"""
 
 
+@functools.lru_cache(maxsize=None)
 def judged_seeds(spark, sf):
     frame = seeds.canonical_seeds(T.seed_rows(spark, sf), T.sites(spark, sf))
     return frame.withColumn("reason", seeds.seed_reason(F.col("url"), F.col("start_host"), CrawlParams()))
@@ -570,6 +573,7 @@ def merge_seeds(spark, sf):
 # --- joins -----------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=None)
 def robots_verdicts(spark, sf, entries):
     files = T.robots_files(spark, sf)
     by_host = robots.robots_by_host(files, robots_source.read_robots(files), "Pagewright/1.0")
@@ -630,6 +634,7 @@ def meta_backfill(spark, sf):
 # --- text and extraction ---------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=None)
 def docs(spark, sf, **options):
     return extract.build_page_docs(T.fetched(spark, sf), extracted_at=stamp(), **options)
 
@@ -674,7 +679,7 @@ _RICH = r"""rich AS (
   SELECT page_id, replace(html, '<article>', '<article><table><tr><td>T' || page_id || '</td></tr></table><div class="post comments"><div>C' || page_id ||
     '</div>more</div><p>see <a href="/l' || page_id || '&amp;x">L</a></p>') AS html FROM pages
 ), cut AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art,
-  regexp_replace(html, '(?is)<title>[^<]*</title>|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)', ' ', 'g') AS rest FROM rich)"""
+  regexp_replace(html, '(?is)<title>[^<]*</title>|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)', ' ' || chr(10) || ' ', 'g') AS rest FROM rich)"""
 _TABLE = r"'<table>.*?</table>'"
 _COMMENT = r"'<div class=\"post comments\"><div>[^<]*</div>more</div>'"
 _LINKED = r"regexp_replace({}, '<a href=\"([^\"]*)\">([^<]*)</a>', '\2 (\1) ', 'g')"
@@ -682,9 +687,9 @@ _LINKED = r"regexp_replace({}, '<a href=\"([^\"]*)\">([^<]*)</a>', '\2 (\1) ', '
 
 def _rich_text(html_sql: str, tables: bool = False, comments: bool = False, with_links: bool = False) -> str:
     if not tables:
-        html_sql = f"regexp_replace({html_sql}, {_TABLE}, ' ')"
+        html_sql = f"regexp_replace({html_sql}, {_TABLE}, ' ' || chr(10) || ' ')"
     if not comments:
-        html_sql = f"regexp_replace({html_sql}, {_COMMENT}, ' ')"
+        html_sql = f"regexp_replace({html_sql}, {_COMMENT}, ' ' || chr(10) || ' ')"
     return S.text_of(_LINKED.format(html_sql) if with_links else html_sql)
 
 
@@ -728,12 +733,13 @@ def strategy_cross(spark, sf):
     return strategy_texts(spark, sf).select(
         "page_id",
         "strategy",
-        F.col("text").rlike(F.concat(F.lit("(?m)^T"), number, F.lit("$"))).alias("tables"),
-        F.col("text").rlike(F.concat(F.lit("(?m)^C"), number, F.lit("$"))).alias("comments"),
+        F.regexp_like("text", F.concat(F.lit("(?m)^T"), number, F.lit("$"))).alias("tables"),
+        F.regexp_like("text", F.concat(F.lit("(?m)^C"), number, F.lit("$"))).alias("comments"),
         F.col("text").contains(F.concat(F.lit("(/l"), number, F.lit("&x)"))).alias("links"),
     )
 
 
+@functools.lru_cache(maxsize=None)
 def tried(spark, sf, min_chars=MIN_CHARS):
     return extract.page_candidates(T.fetched(spark, sf), min_chars)
 
@@ -813,6 +819,7 @@ API_SQL = """api AS (
 )"""
 
 
+@functools.lru_cache(maxsize=None)
 def known_apis(spark, sf):
     return api.api_candidates(api.read_api_payloads(T.api_documents(spark, sf)))
 
@@ -905,6 +912,7 @@ counts AS (
 )"""
 
 
+@functools.lru_cache(maxsize=None)
 def run(spark, sf) -> jobs.SiteRun:
     files = T.robots_files(spark, sf)
     by_host = robots.robots_by_host(files, robots_source.read_robots(files), "pagewright")

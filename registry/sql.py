@@ -113,7 +113,7 @@ def texts(source: str = "pages") -> str:
     """page_id, title, lang, t_default, t_recall of pages with one article and no tables or comments."""
     article = f"regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
     outside = "(?is)<title>[^<]*</title>|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)"
-    rest = f"regexp_replace(html, '{outside}', ' ', 'g')"
+    rest = f"regexp_replace(html, '{outside}', ' ' || chr(10) || ' ', 'g')"
     return f"""texts AS (
   SELECT page_id, url, html,
     nullif({decode("trim(regexp_extract(html, '<title>([^<]*)', 1), " + WHITE + ")")}, '') AS title,

@@ -1,10 +1,13 @@
 """Inputs of the registered queries: the given tables and what Spark derives from them.
 
-All derivations are projections, equi-joins or pre-aggregated groups; none collects a site.
+All derivations are projections, equi-joins or pre-aggregated groups; none collects a site. They are
+only plans, so each is built once per session.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +18,22 @@ from pagewright.sources.fetched import from_pages, one_per_url, with_canonical_u
 STAMP = "2026-01-01T00:00:00Z"
 
 
+@functools.lru_cache(maxsize=None)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=None)
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+@functools.lru_cache(maxsize=None)
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_pages(pages(spark, sf_dir))
 
 
+@functools.lru_cache(maxsize=None)
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages of which some failed and some are no HTML."""
     return fetched(spark, sf_dir).withColumns(
@@ -39,6 +46,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=None)
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, canon, site_id) without HTML."""
     light = pages(spark, sf_dir).select("page_id", "url")
@@ -46,11 +54,13 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.withColumn("site_id", url_host(F.col("canon")))
 
 
+@functools.lru_cache(maxsize=None)
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, start_url): every host, starting at its first page."""
     return addresses(spark, sf_dir).groupBy("site_id").agg(F.min_by("canon", "page_id").alias("start_url"))
 
 
+@functools.lru_cache(maxsize=None)
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, url, depth): the distinct URLs of every host."""
     return (
@@ -60,6 +70,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=None)
 def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, href): the link targets of all pages as written."""
     from pagewright.functions import entities, html
@@ -69,6 +80,7 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("page_id", "url", F.explode("values").alias("href"))
 
 
+@functools.lru_cache(maxsize=None)
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real links of the pages, and page i to 2i+1, 2i+2 and its neighbour (odd up, even down)."""
     linked = with_canonical_url(with_links(fetched(spark, sf_dir)))
@@ -81,11 +93,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(targets.join(other, "target").select("src", "dst"))
 
 
+@functools.lru_cache(maxsize=None)
 def page_index(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
     source = outcomes if failing else fetched
     return one_per_url(source(spark, sf_dir).drop("html"), "page_id")
 
 
+@functools.lru_cache(maxsize=None)
 def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host_key, status, body): a robots file for every host, of a kind that its name decides."""
     keys = addresses(spark, sf_dir).select("site_id", host_key(F.col("canon")).alias("host_key")).distinct()
@@ -104,6 +118,7 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.where(~unreadable)
 
 
+@functools.lru_cache(maxsize=None)
 def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, raw_url): per page a plain, an upper-case, a foreign, a binary and a broken seed."""
     a = addresses(spark, sf_dir)
@@ -126,6 +141,7 @@ def _xml_loc(url) -> F.Column:
     return F.concat(F.lit("<loc> "), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("\n</loc>"))
 
 
+@functools.lru_cache(maxsize=None)
 def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(location, body) per page: even ids a urlset, odd ids an index of four children.
 
@@ -151,6 +167,7 @@ def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(sitemap_location(i).alias("location"), body.alias("body"))
 
 
+@functools.lru_cache(maxsize=None)
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(location, body) per page: a text list of the page and its links with comments and blanks."""
     linked = with_links(fetched(spark, sf_dir))
@@ -160,6 +177,7 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(sitemap_location(F.col("page_id")).alias("location"), body.alias("body"))
 
 
+@functools.lru_cache(maxsize=None)
 def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subdomain, body): one API description per part; every fifth is no JSON object."""
     p = table(spark, sf_dir, "part")
@@ -197,6 +215,7 @@ def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(text("api-", key).alias("subdomain"), body.alias("body"))
 
 
+@functools.lru_cache(maxsize=None)
 def widget_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages with an embedded API description, in one of three spellings."""
     i = F.col("page_id")
@@ -209,6 +228,7 @@ def widget_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched(spark, sf_dir).withColumn("html", F.concat(widget, "html"))
 
 
+@functools.lru_cache(maxsize=None)
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages whose article starts with a table, a comment box and a link."""
     number = F.col("page_id").cast("string")
