@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
@@ -14,23 +14,25 @@ from pagewright.sources.fetched import fetch_failed, is_html
 from pagewright.storage import materialize, materialize_by
 
 
-def _judge(frontier: DataFrame, pages: DataFrame, robots: DataFrame | None, params: CrawlParams) -> DataFrame:
-    """Frontier rows with the first ``reason`` not to count them as discovered."""
-    outcome = frontier.join(pages, "url", "left")
-    if params.respect_robots and robots is not None:
-        outcome = with_robots_verdict(outcome, robots)
-    else:
-        outcome = outcome.withColumn("allowed", F.lit(True))
-    reason = F.coalesce(
+def _verdict(params: CrawlParams) -> Column:
+    """First reason not to count a frontier row as discovered, or NULL."""
+    return F.coalesce(
         external_reason(F.col("url"), F.col("start_host"), params),
         url_reason(F.col("url"), params),
         F.when(~F.col("allowed"), F.lit(fixed.ROBOTS)),
         F.when(fetch_failed(F.col("status"), F.lit(True)), F.lit(fixed.FETCH_FAILED)),
         F.when(~is_html(F.col("content_type")), F.lit(fixed.NON_HTML)),
     )
-    return outcome.withColumn("reason", reason).select(
-        "site_id", "url", "parent_ord", "done", "start_host", "reason"
-    )
+
+
+def _judge(frontier: DataFrame, pages: DataFrame, robots: DataFrame | None, verdict: Column) -> DataFrame:
+    """Frontier rows with their ``reason``."""
+    outcome = frontier.join(pages, "url", "left")
+    if robots is not None:
+        outcome = with_robots_verdict(outcome, robots)
+    else:
+        outcome = outcome.withColumn("allowed", F.lit(True))
+    return outcome.select("site_id", "url", "parent_ord", "done", "start_host", verdict.alias("reason"))
 
 
 def bfs_discover(
@@ -66,11 +68,13 @@ def bfs_discover(
     )
     edges = materialize_by(edges.where("src <> dst").distinct(), "src")
     pages = materialize_by(pages.select("url", "status", "content_type"), "url")
+    rules = materialize(robots) if params.respect_robots and robots is not None else None
+    verdict = _verdict(params)
     limit = params.max_pages
     discovered, skipped = [], [bad_starts]
     depth = 0
     while True:
-        judged = materialize(_judge(frontier, pages, robots, params))
+        judged = materialize(_judge(frontier, pages, rules, verdict))
         passed = judged.where("reason is null")
         ranked = first_per_site(passed, limit, "parent_ord", "url")
         accepted = materialize(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright import schemas
 from pagewright.functions import fixed
 from pagewright.functions.text import LINE_BREAK_RE, strip
+from pagewright.storage import materialize
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -98,15 +99,15 @@ def expand_sitemap_index(
 ) -> DataFrame:
     """(site_id, url) of all page URLs below the root sitemaps (site_id, location).
 
-    One join per index level. Children that are missing from the documents or unreadable give
+    One join per index level, on parsed documents that are written once. Children that are missing from the documents or unreadable give
     nothing. At the last level an index's child locations count as page URLs. Within one index, a URL
     equal to the location of the same or an earlier child is dropped.
     """
-    parsed = parse_documents(documents)
+    parsed = materialize(parse_documents(documents).select("location", "urls", "children"))
     level = roots.select("site_id", "location", F.array().cast("array<struct<call:string,pos:int>>").alias("via"))
     pages, calls = [], []
     for depth in range(max_depth, -1, -1):
-        opened = level.join(parsed, "location")
+        opened = materialize(level.join(parsed, "location"))
         leaf = F.size("urls") > 0
         if depth == 0:
             urls = F.when(leaf, F.col("urls")).otherwise(F.col("children"))
@@ -133,11 +134,8 @@ def expand_sitemap_index(
     for index, seen in enumerate(calls):
         step = F.get(F.col("via"), F.lit(index))
         here = found.withColumn("call", step["call"]).withColumn("call_pos", step["pos"])
-        matches = (
-            (here["site_id"] == seen["site_id"])
-            & (here["call"] == seen["call"])
-            & (here["url"] == seen["url"])
-            & (seen["seen_at"] <= here["call_pos"])
-        )
-        found = here.join(seen, matches, "left_anti").drop("call", "call_pos")
+        earlier = here.join(seen, ["site_id", "call", "url"], "left")
+        found = earlier.where(
+            F.col("seen_at").isNull() | F.col("call_pos").isNull() | (F.col("seen_at") > F.col("call_pos"))
+        ).drop("call", "call_pos", "seen_at")
     return found.select("site_id", "url").distinct()

@@ -912,7 +912,6 @@ counts AS (
 )"""
 
 
-@functools.lru_cache(maxsize=None)
 def run(spark, sf) -> jobs.SiteRun:
     files = T.robots_files(spark, sf)
     by_host = robots.robots_by_host(files, robots_source.read_robots(files), "pagewright")
