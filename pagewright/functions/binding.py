@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,3 +22,28 @@ def after(text: Column, prefix_length: Column | int) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
+
+
+def by_name(columns: int):
+    """Let a column function take column names for its first ``columns`` arguments.
+
+    A large expression over names is the same object every time, so it is built once per session.
+    """
+
+    def wrap(function):
+        built: dict = {}
+
+        @functools.wraps(function)
+        def call(*args, **options):
+            lead = [F.col(a) if isinstance(a, str) else a for a in args[:columns]]
+            if any(isinstance(a, Column) for a in args[:columns]):
+                return function(*lead, *args[columns:], **options)
+            rest = [tuple(a) if isinstance(a, list) else a for a in args[columns:]]
+            key = (SparkSession.getActiveSession(), args[:columns], tuple(rest), tuple(sorted(options.items())))
+            if key not in built:
+                built[key] = function(*lead, *args[columns:], **options)
+            return built[key]
+
+        return call
+
+    return wrap

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
-from pagewright.functions.binding import after, blank_to_null, let
+from pagewright.functions.binding import after, blank_to_null, by_name, let
 from pagewright.functions.text import strip
 
 # The rest of a tag: attributes with quoted values, or anything up to '>' if the quotes are uneven.
@@ -23,7 +23,9 @@ RAW_ELEMENT = (
     r"""<(script|style)(?=[\s/>])(?:[^'">]++|"[^"]*+"|'[^']*+')*+(?<!/)>.*?(?:</\s*\1\s*>|\z)"""
 )
 NOT_TEXT = f"{COMMENT}|{RAW_ELEMENT}"
-TITLE_ELEMENT = r"<title(?=[\s/>])" + TAG_END + r"[^<]*+(?:</title\s*>)?"
+# Text up to the next tag; a '<' that starts no tag belongs to it.
+UP_TO_TAG = r"(?:[^<]++|<(?!/?[a-z!]))*+"
+TITLE_ELEMENT = r"<title(?=[\s/>])" + TAG_END + UP_TO_TAG + r"(?:</title\s*>)?"
 ATTRIBUTE = r"""[^\s/>"'=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
 
 CONTAINER_TAGS = ("div", "section", "ol", "ul")
@@ -37,6 +39,17 @@ def tag(*names: str) -> str:
     return rf"</?(?:{'|'.join(names)})(?=[\s/>])" + TAG_END
 
 
+def empty_tag(*names: str) -> str:
+    """A start tag that closes itself: it counts as an opening and a closing tag."""
+    attributes = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+    return rf"""<(?:{'|'.join(names)})(?:/>|(?=[\s/]){attributes}(?<=[\s"'/]/)>)"""
+
+
+def is_empty_tag(markup: Column) -> Column:
+    any_name = r"[a-z][^\s/>]*+"
+    return markup.rlike(_flags("^" + empty_tag(any_name)))
+
+
 def _flags(pattern: str) -> str:
     return "(?is)" + pattern
 
@@ -75,7 +88,7 @@ def _drop_templates(markup: Column) -> Column:
     def step(state: Column, piece: Column) -> Column:
         depth, kept = state["depth"], state["kept"]
         return F.struct(
-            F.when(~is_skip(piece), depth)
+            F.when(~is_skip(piece) | is_empty_tag(piece), depth)
             .when(piece.startswith("</"), F.greatest(depth - 1, F.lit(0)))
             .otherwise(depth + 1)
             .alias("depth"),
@@ -89,6 +102,7 @@ def _drop_templates(markup: Column) -> Column:
     return F.when(markup.rlike(r"(?i)<template[\s/>]"), visible).otherwise(markup)
 
 
+@by_name(1)
 def encoded_text(html: Column) -> Column:
     """Text outside script, style and template; block elements give newlines."""
     pattern = rf"(?:{NOT_TEXT})|({tag(*_kept_names())})|{ANY_TAG}"
@@ -98,11 +112,15 @@ def encoded_text(html: Column) -> Column:
 
 def _lines(markup: Column) -> Column:
     """Turn the block tags left in ``markup`` into newlines; a lone '<' is text."""
-    broken = F.regexp_replace(markup, _flags(tag(*fixed.BLOCK_TAGS)), " \n ")
+    twice = F.regexp_replace(markup, _flags(empty_tag(*fixed.BLOCK_TAGS)), " \n\n ")
+    broken = F.regexp_replace(
+        F.when(markup.contains("/>"), twice).otherwise(markup), _flags(tag(*fixed.BLOCK_TAGS)), " \n "
+    )
     text = F.replace(F.regexp_replace(broken, _flags(ANY_TAG), " "), F.lit("<"), F.lit(" < "))
     return F.when(markup.contains("<"), text).otherwise(markup)
 
 
+@by_name(1)
 def link_targets(html: Column) -> Column:
     """All non-empty href values of the a elements, in page order, still encoded."""
     tags = F.regexp_extract_all(
@@ -113,6 +131,7 @@ def link_targets(html: Column) -> Column:
     return F.filter(values, lambda v: v != "")
 
 
+@by_name(1)
 def page_markup(html: Column) -> Column:
     """The page without comments, scripts and styles, and only with tags that structure it."""
     names = _kept_names() + ("a", "html", "meta", "time", "title")
@@ -124,6 +143,7 @@ def _first_content(found: Column, name: str) -> Column:
     return F.get(F.filter(found, lambda meta: meta["key"] == name), F.lit(0))["content"]
 
 
+@by_name(1)
 def metadata(markup: Column) -> Column:
     """struct(title, subtitle, author, date_published, language), encoded, NULL where missing."""
     metas = F.regexp_extract_all(markup, F.lit(_flags(r"<meta(?=[\s/>])" + TAG_END)), F.lit(0))
@@ -137,7 +157,7 @@ def metadata(markup: Column) -> Column:
     def named(found: Column, *names: str) -> list[Column]:
         return [_first_content(found, name) for name in names]
 
-    title = F.regexp_extract(markup, _flags(r"<title(?=[\s/>])" + TAG_END + "([^<]*+)"), 1)
+    title = F.regexp_extract(markup, _flags(r"<title(?=[\s/>])" + TAG_END + f"({UP_TO_TAG})"), 1)
     heading = F.regexp_extract(
         markup, _flags(r"<h1(?=[\s/>])" + TAG_END + r"(.*?)(?:</h1\s*>|\z)"), 1
     )
@@ -169,6 +189,7 @@ def _segment_pattern(names: tuple[str, ...]) -> str:
     return _flags(rf"{mark}(?:{run})?+|{run}")
 
 
+@by_name(1)
 def segments(markup: Column) -> Column:
     """Page cut at region and link tags: array of struct(place, text, link).
 
@@ -205,7 +226,10 @@ def segments(markup: Column) -> Column:
 
         return let(
             F.regexp_extract(piece, _flags(marks), 0),
-            lambda mark: let(tag_name(mark), lambda name: build(mark, name)),
+            lambda mark: let(
+                F.when(is_empty_tag(mark), F.lit("")).otherwise(tag_name(mark)),
+                lambda name: build(mark, name),
+            ),
         )
 
     def place(parsed: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
-from pagewright.functions.binding import after, let
+from pagewright.functions.binding import after, by_name, let
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 HOST_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
@@ -238,6 +238,7 @@ def resolve_from(url: Column, base: Column) -> Column:
     )
 
 
+@by_name(2)
 def canonicalize_url(url: Column, base: Column | None = None) -> Column:
     """Canonical absolute URL, or '' if there is none."""
     url = F.coalesce(url, F.lit(""))
@@ -253,17 +254,20 @@ def resolve_url(url: Column, base: Column) -> Column:
     return canonicalize_url(url, base)
 
 
+@by_name(1)
 def url_host(url: Column) -> Column:
     """Lower-case host without port and user info; '' if there is none."""
     return F.lower(F.regexp_extract(url, HOST_RE, 1))
 
 
+@by_name(1)
 def host_key(url: Column) -> Column:
     """scheme://host:port of a canonical URL: the unit a robots file speaks for."""
     location = F.regexp_extract(url, r"^([a-z][a-z0-9+.\-]*://(?:\[[^\]]*\]|[^/?#:]*)(?::[0-9]+)?)", 1)
     return F.when(location.rlike(r":[0-9]+\z"), location).otherwise(F.concat(location, F.lit(":")))
 
 
+@by_name(1)
 def path_and_query(url: Column) -> Column:
     """Decoded path and query as robots rules see them."""
     return lenient_unquote(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), False)
@@ -313,6 +317,7 @@ def glob_match(url: Column, patterns: Sequence[str] | Column) -> Column:
     return matched
 
 
+@by_name(1)
 def skip_reason(
     url: Column,
     query_filter: bool = True,

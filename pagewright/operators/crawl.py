@@ -18,7 +18,7 @@ def _verdict(params: CrawlParams) -> Column:
     """First reason not to count a frontier row as discovered, or NULL."""
     return F.coalesce(
         external_reason(F.col("url"), F.col("start_host"), params),
-        url_reason(F.col("url"), params),
+        url_reason("url", params),
         F.when(~F.col("allowed"), F.lit(fixed.ROBOTS)),
         F.when(fetch_failed(F.col("status"), F.lit(True)), F.lit(fixed.FETCH_FAILED)),
         F.when(~is_html(F.col("content_type")), F.lit(fixed.NON_HTML)),
@@ -54,7 +54,7 @@ def bfs_discover(
     written to the shared checkpoint folder. URLs that were judged away need no visited set: the
     verdict is the same every time, so their repeats are dropped once at the end.
     """
-    start = canonicalize_url(F.col("start_url"))
+    start = canonicalize_url("start_url")
     begun = sites.select("site_id", "start_url", start.alias("url"))
     bad_starts = begun.where("url = ''").select(
         "site_id", F.col("start_url").alias("url"), F.lit(fixed.BAD_START).alias("reason"), F.lit(0).alias("depth")
@@ -64,7 +64,7 @@ def bfs_discover(
         "url",
         F.lit(0).alias("parent_ord"),
         F.lit(0).alias("done"),
-        url_host(F.col("url")).alias("start_host"),
+        url_host("url").alias("start_host"),
     )
     edges = materialize_by(edges.where("src <> dst").distinct(), "src")
     pages = materialize_by(pages.select("url", "status", "content_type"), "url")

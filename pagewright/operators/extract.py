@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import entities, fixed, html
-from pagewright.functions.binding import blank_to_null, let
+from pagewright.functions.binding import blank_to_null, by_name, let
 from pagewright.functions.text import candidate_score, normalize_text, utc_now_iso
 
 META_FIELDS = ("title", "subtitle", "author", "date_published", "language")
@@ -39,6 +39,7 @@ STRATEGIES = (
 RECALL = Strategy("recall", recall=True)
 
 
+@by_name(1)
 def html_to_text(markup: Column) -> Column:
     """Plain text of a piece of HTML."""
     return normalize_text(entities.unescape(html.encoded_text(markup)))
@@ -46,11 +47,11 @@ def html_to_text(markup: Column) -> Column:
 
 def with_page_parts(pages: DataFrame) -> DataFrame:
     """Add ``segments`` and ``meta`` (both decoded) to a table with an ``html`` column; drop html."""
-    marked = pages.withColumn("markup", html.page_markup(F.col("html"))).drop("html")
+    marked = pages.withColumn("markup", html.page_markup("html")).drop("html")
     cut = marked.select(
         *[c for c in marked.columns if c != "markup"],
-        html.segments(F.col("markup")).alias("encoded"),
-        html.metadata(F.col("markup")).alias("encoded_meta"),
+        html.segments("markup").alias("encoded"),
+        html.metadata("markup").alias("encoded_meta"),
     )
     decoded = cut.select(
         *[c for c in cut.columns if not c.startswith("encoded")],
@@ -76,6 +77,7 @@ def _has(segment: Column, bit: int) -> Column:
     return segment["place"].bitwiseAND(F.lit(bit)) != 0
 
 
+@by_name(1)
 def strategy_text(segments: Column, strategy: Strategy) -> Column:
     """Text of the segments a strategy lets through."""
 
@@ -124,14 +126,14 @@ def with_candidates(
     pages never evaluate them). The metadata candidate always runs, on the recall text.
     """
     first, *others = strategies
-    base = parts.withColumn("first_text", strategy_text(F.col("segments"), first)).withColumn(
-        "recall_text", strategy_text(F.col("segments"), RECALL)
+    base = parts.withColumn("first_text", strategy_text("segments", first)).withColumn(
+        "recall_text", strategy_text("segments", RECALL)
     )
 
     def text_of(strategy: Strategy) -> Column:
         if strategy._replace(name=RECALL.name) == RECALL:
             return F.col("recall_text")
-        return strategy_text(F.col("segments"), strategy)
+        return strategy_text("segments", strategy)
 
     opening = F.array(_candidate(first.name, F.col("first_text")))
     ladder = F.array(
@@ -149,6 +151,7 @@ def with_candidates(
     return base.withColumn("tried", tried).drop("segments", "first_text", "recall_text")
 
 
+@by_name(1)
 def best_candidate(candidates: Column) -> Column:
     """Candidate with the highest score, the earliest one on ties; NULL if none has a text."""
     ranked = F.transform(
@@ -160,6 +163,7 @@ def best_candidate(candidates: Column) -> Column:
     return F.array_max(F.filter(ranked, lambda r: r["candidate"]["text"] != ""))["candidate"]
 
 
+@by_name(1)
 def attempt_log(candidates: Column) -> Column:
     return F.transform(
         candidates,
@@ -204,7 +208,7 @@ def page_candidates(
 
 
 def _with_best(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("best", best_candidate(F.col("tried")))
+    return frame.withColumn("best", best_candidate("tried"))
 
 
 def build_page_docs(
@@ -223,7 +227,7 @@ def build_page_docs(
 
     extra = [c for c in fetched.columns if c not in ("url", "fetched_url", "status", "content_type", "html")]
     if api_candidates is not None:
-        fetched = fetched.withColumn("subdomain", api.find_api_subdomain(F.col("html")))
+        fetched = fetched.withColumn("subdomain", api.find_api_subdomain("html"))
     frame = _with_best(page_candidates(fetched, min_text_chars, strategies))
     if api_candidates is not None:
         frame = api.with_api_fallback(frame, api_candidates, min_text_chars)
@@ -237,13 +241,13 @@ def build_page_docs(
         stamp.alias("extracted_at"),
         *[backfilled(best, meta, name).alias(name) for name in META_FIELDS],
         F.coalesce(best["text"], F.lit("")).alias("text"),
-        attempt_log(F.col("tried")).alias("extraction_attempts"),
+        attempt_log("tried").alias("extraction_attempts"),
         short_text_warnings(best["text"], min_text_chars).alias("warnings"),
     )
 
 
 def html_tokens(pages: DataFrame, key: str) -> DataFrame:
-    """Event stream of each page: (key, pos, kind, name, text, skip_depth), kind open/close/text.
+    """Event stream of each page: (key, pos, kind, name, text, skip_depth), kind open/close/empty/raw/text.
 
     ``skip_depth`` counts the script, style and template elements around an event. It is a running
     sum over the page's own events that never falls below 0 on a stray closing tag.
@@ -261,6 +265,7 @@ def html_tokens(pages: DataFrame, key: str) -> DataFrame:
         key,
         "pos",
         F.when(token.rlike("(?i)^</[a-z]"), F.lit("close"))
+        .when(html.is_empty_tag(token), F.lit("empty"))
         .when(raw, F.lit("raw"))
         .when(token.rlike("(?i)^<[a-z]"), F.lit("open"))
         .otherwise(F.lit("text"))

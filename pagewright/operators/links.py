@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import entities, html
-from pagewright.functions.binding import let
+from pagewright.functions.binding import by_name, let
 from pagewright.functions.urls import base_of, resolve_from
 
 
+@by_name(2)
 def extract_links(hrefs: Column, base: Column) -> Column:
     """Sorted distinct canonical URLs of decoded href values on the page ``base``."""
     links = let(base_of(base), lambda b: F.transform(hrefs, lambda href: resolve_from(href, b)))
@@ -18,9 +19,9 @@ def extract_links(hrefs: Column, base: Column) -> Column:
 
 def with_links(fetched: DataFrame) -> DataFrame:
     """Fetched rows with ``links`` instead of their HTML; a projection, no shuffle."""
-    hrefs = fetched.withColumn("hrefs", entities.unescape_each(html.link_targets(F.col("html"))))
+    hrefs = fetched.withColumn("hrefs", entities.unescape_each(html.link_targets("html")))
     kept = [c for c in fetched.columns if c != "html"]
-    return hrefs.select(*kept, extract_links(F.col("hrefs"), F.col("fetched_url")).alias("links"))
+    return hrefs.select(*kept, extract_links("hrefs", "fetched_url").alias("links"))
 
 
 def link_edges(linked: DataFrame, source: str = "url") -> DataFrame:

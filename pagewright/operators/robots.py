@@ -49,7 +49,7 @@ def with_robots_verdict(urls: DataFrame, robots: DataFrame) -> DataFrame:
     ``robots`` is (host_key, status, rules table columns) prepared by ``robots_by_host``. A host
     without a row could not be read, and is allowed.
     """
-    keyed = urls.withColumn("host_key", host_key(F.col("url")))
+    keyed = urls.withColumn("host_key", host_key("url"))
     joined = keyed.join(robots, "host_key", "left")
     allowed = (
         F.when(F.col("robots_status").isin(401, 403), F.lit(False))

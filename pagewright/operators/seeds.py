@@ -15,9 +15,9 @@ SALTS = 32
 def canonical_seeds(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     """Seeds (site_id, raw_url, ...) with ``url`` (canonical, seen from the site's start) and
     ``start_host``. ``sites`` is (site_id, start_url)."""
-    start = sites.select("site_id", "start_url", url_host(F.col("start_url")).alias("start_host"))
+    start = sites.select("site_id", "start_url", url_host("start_url").alias("start_host"))
     joined = seeds.join(start, "site_id")
-    return joined.withColumn("url", canonicalize_url(F.col("raw_url"), F.col("start_url"))).drop("start_url")
+    return joined.withColumn("url", canonicalize_url("raw_url", "start_url")).drop("start_url")
 
 
 def external_reason(url: Column, start_host: Column, params: CrawlParams) -> Column:
@@ -27,7 +27,7 @@ def external_reason(url: Column, start_host: Column, params: CrawlParams) -> Col
     return F.when(url_host(url) != start_host, F.lit(fixed.EXTERNAL))
 
 
-def url_reason(url: Column, params: CrawlParams) -> Column:
+def url_reason(url: Column | str, params: CrawlParams) -> Column:
     return skip_reason(url, params.query_filter, params.allow_patterns, params.deny_patterns)
 
 

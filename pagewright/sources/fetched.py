@@ -29,7 +29,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 def with_canonical_url(frame: DataFrame, url: str = "url") -> DataFrame:
     """Add ``canonical_url``. Write it once into the stored table: lookups then prune by it."""
-    return frame.withColumn("canonical_url", canonicalize_url(F.col(url)))
+    return frame.withColumn("canonical_url", canonicalize_url(url))
 
 
 def one_per_url(fetched: DataFrame, order: str) -> DataFrame:

@@ -260,19 +260,19 @@ def canonicalize_url(spark, sf):
     noisy = light.select(F.concat(place, port, F.lit("//a/./b/../"), rest).alias("url"))
     bare = light.select(F.regexp_extract("url", "^[a-z]+://(.*)", 1).alias("url"))
     variants = light.unionByName(noisy).unionByName(bare)
-    return variants.select("url", urls.canonicalize_url(F.col("url")).alias("canonical_url"))
+    return variants.select("url", urls.canonicalize_url("url").alias("canonical_url"))
 
 
 @query("resolve_url", f"WITH {S.HREFS} SELECT page_id, href, {S.ROOT} || href AS resolved FROM hrefs")
 def resolve_url(spark, sf):
     return T.hrefs(spark, sf).select(
-        "page_id", "href", urls.resolve_url(F.col("href"), F.col("url")).alias("resolved")
+        "page_id", "href", urls.resolve_url("href", "url").alias("resolved")
     )
 
 
 @query("url_host", f"SELECT url, {S.host('url')} AS host FROM pages")
 def url_host(spark, sf):
-    return T.pages(spark, sf).select("url", urls.url_host(F.col("url")).alias("host"))
+    return T.pages(spark, sf).select("url", urls.url_host("url").alias("host"))
 
 
 # URLs with an extension of each kind: page URLs, links, and files named after the part types.
@@ -291,7 +291,7 @@ def shaped_urls(spark, sf):
     pages = T.pages(spark, sf).select("page_id", "url")
     head = F.regexp_extract("url", "^([^?#]*)", 1)
     root = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
-    real = T.hrefs(spark, sf).select(urls.resolve_url(F.col("href"), F.col("url")).alias("url"), "page_id").distinct()
+    real = T.hrefs(spark, sf).select(urls.resolve_url("href", "url").alias("url"), "page_id").distinct()
     made = pages.select(
         F.explode(
             F.array(
@@ -342,7 +342,7 @@ def glob_match(spark, sf):
     WHEN {DENY_SQL} THEN 'deny-pattern' WHEN NOT {ALLOW_SQL} THEN 'allow-pattern-miss' END AS reason FROM shaped""",
 )
 def skip_reason(spark, sf):
-    reason = urls.skip_reason(F.col("url"), True, PATTERNS_ALLOW, PATTERNS_DENY)
+    reason = urls.skip_reason("url", True, PATTERNS_ALLOW, PATTERNS_DENY)
     return shaped_urls(spark, sf).select("url", reason.alias("reason"))
 
 
@@ -362,7 +362,7 @@ def slugify(spark, sf):
     'site_' || replace({S.host('url')}, '.', '-') || '_20260101T000000Z.xml' AS site_file FROM pages""",
 )
 def dump_filename(spark, sf):
-    site = text.site_filename(urls.url_host(F.col("url")), stamp(), "xml")
+    site = text.site_filename(urls.url_host("url"), stamp(), "xml")
     return T.pages(spark, sf).select(
         "url", text.page_filename(F.col("url"), "markdown").alias("page_file"), site.alias("site_file")
     )
@@ -672,7 +672,7 @@ def html_tokens(spark, sf):
 
 @query("html_to_text", f"SELECT page_id, {S.text_of('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return T.pages(spark, sf).select("page_id", extract.html_to_text(F.col("html")).alias("text"))
+    return T.pages(spark, sf).select("page_id", extract.html_to_text("html").alias("text"))
 
 
 _RICH = r"""rich AS (
@@ -711,7 +711,7 @@ def strategy_texts(spark, sf):
     parts = extract.with_page_parts(T.rich_pages(spark, sf).select("page_id", "html"))
     each = F.array(
         *[
-            F.struct(F.lit(s.name).alias("strategy"), extract.strategy_text(F.col("segments"), s).alias("text"))
+            F.struct(F.lit(s.name).alias("strategy"), extract.strategy_text("segments", s).alias("text"))
             for s in extract.STRATEGIES
         ]
     )
@@ -766,7 +766,7 @@ def bare_metadata(spark, sf):
 
 @query("attempt_log", f"WITH {S.docs(900)} SELECT page_id, attempts FROM docs")
 def attempt_log(spark, sf):
-    return tried(spark, sf, 900).select("page_id", attempts_text(extract.attempt_log(F.col("tried"))).alias("attempts"))
+    return tried(spark, sf, 900).select("page_id", attempts_text(extract.attempt_log("tried")).alias("attempts"))
 
 
 @query(
@@ -790,7 +790,7 @@ def candidate_score(spark, sf):
 
 @query("best_candidate", f"WITH {S.candidates(900)} SELECT page_id, strategy, text FROM best")
 def best_candidate(spark, sf):
-    best = tried(spark, sf, 900).select("page_id", extract.best_candidate(F.col("tried")).alias("best"))
+    best = tried(spark, sf, 900).select("page_id", extract.best_candidate("tried").alias("best"))
     return best.where("best is not null").select("page_id", "best.strategy", "best.text")
 
 
@@ -804,7 +804,7 @@ WIDGET_KEY = "CASE WHEN page_id % 3 < 2 THEN 'api-' || page_id END"
 
 @query("find_api_subdomain", f"SELECT page_id, {WIDGET_KEY} AS subdomain FROM pages")
 def find_api_subdomain(spark, sf):
-    return T.widget_pages(spark, sf).select("page_id", api.find_api_subdomain(F.col("html")).alias("subdomain"))
+    return T.widget_pages(spark, sf).select("page_id", api.find_api_subdomain("html").alias("subdomain"))
 
 
 API_SQL = """api AS (
@@ -836,8 +836,8 @@ def api_payload_text(spark, sf):
     LEFT JOIN best b ON b.page_id = w.page_id WHERE coalesce(length(b.text), 0) < 900""",
 )
 def api_payload_join(spark, sf):
-    pages = T.widget_pages(spark, sf).withColumn("subdomain", api.find_api_subdomain(F.col("html")))
-    best = extract.page_candidates(pages, 900).withColumn("best", extract.best_candidate(F.col("tried")))
+    pages = T.widget_pages(spark, sf).withColumn("subdomain", api.find_api_subdomain("html"))
+    best = extract.page_candidates(pages, 900).withColumn("best", extract.best_candidate("tried"))
     short = best.where(api.needs_api(F.col("best"), 900) & F.col("subdomain").isNotNull())
     return short.select("page_id", "subdomain").join(known_apis(spark, sf).drop("api_text"), "subdomain")
 
@@ -961,8 +961,8 @@ def seen_distinct(spark, sf):
     upper = F.concat(F.upper(root), F.substring("url", F.length(root) + 1, F.length("url")))
     fragment = F.when(F.col("url").contains("#"), F.col("url")).otherwise(F.concat("url", F.lit("#x")))
     variants = light.select(F.explode(F.array("url", upper, fragment)).alias("raw"))
-    canon = variants.select(urls.canonicalize_url(F.col("raw")).alias("url"))
-    return canon.select(urls.url_host(F.col("url")).alias("site_id"), "url").distinct()
+    canon = variants.select(urls.canonicalize_url("raw").alias("url"))
+    return canon.select(urls.url_host("url").alias("site_id"), "url").distinct()
 
 
 @query(

@@ -50,8 +50,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, canon, site_id) without HTML."""
     light = pages(spark, sf_dir).select("page_id", "url")
-    canon = light.withColumn("canon", canonicalize_url(F.col("url")))
-    return canon.withColumn("site_id", url_host(F.col("canon")))
+    canon = light.withColumn("canon", canonicalize_url("url"))
+    return canon.withColumn("site_id", url_host("canon"))
 
 
 @functools.lru_cache(maxsize=None)
@@ -75,7 +75,7 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, href): the link targets of all pages as written."""
     from pagewright.functions import entities, html
 
-    values = entities.unescape_each(html.link_targets(F.col("html")))
+    values = entities.unescape_each(html.link_targets("html"))
     listed = pages(spark, sf_dir).select("page_id", "url", values.alias("values"))
     return listed.select("page_id", "url", F.explode("values").alias("href"))
 
@@ -102,7 +102,7 @@ def page_index(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataF
 @functools.lru_cache(maxsize=None)
 def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host_key, status, body): a robots file for every host, of a kind that its name decides."""
-    keys = addresses(spark, sf_dir).select("site_id", host_key(F.col("canon")).alias("host_key")).distinct()
+    keys = addresses(spark, sf_dir).select("site_id", host_key("canon").alias("host_key")).distinct()
     mobile = "User-agent: *\nDisallow: /\n\nUser-agent: Pagewright # us\nDisallow: /en/\nAllow: /\n"
     www = "User-agent: otherbot\nDisallow: /\n\nUser-agent: *\nAllow: /fr/\nDisallow: /%66r/\nDisallow: /de/\n\nDisallow: /en/\n"
     host = F.col("site_id")
