@@ -54,9 +54,6 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        # One input file of a few megabytes: split it over the cores.
-        .config("spark.sql.files.maxPartitionBytes", "1m")
-        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

@@ -105,7 +105,7 @@ def _drop_templates(markup: Column) -> Column:
 @by_name(1)
 def encoded_text(html: Column) -> Column:
     """Text outside script, style and template; block elements give newlines."""
-    pattern = rf"(?:{NOT_TEXT})|({tag(*_kept_names())})|{ANY_TAG}"
+    pattern = rf"(?=<)(?:{NOT_TEXT}|({tag(*_kept_names())})|{ANY_TAG})"
     blocks_only = F.regexp_replace(F.coalesce(html, F.lit("")), _flags(pattern), "$2 ")
     return let(blocks_only, lambda kept: _lines(_drop_templates(kept)))
 
@@ -124,7 +124,7 @@ def _lines(markup: Column) -> Column:
 def link_targets(html: Column) -> Column:
     """All non-empty href values of the a elements, in page order, still encoded."""
     tags = F.regexp_extract_all(
-        F.coalesce(html, F.lit("")), F.lit(_flags(f"{NOT_TEXT}|{ANY_TAG}")), F.lit(0)
+        F.coalesce(html, F.lit("")), F.lit(_flags(f"(?=<)(?:{NOT_TEXT}|{ANY_TAG})")), F.lit(0)
     )
     anchors = F.filter(tags, lambda t: t.rlike(r"(?i)^<a[\s/]"))
     values = F.flatten(F.transform(anchors, lambda t: attribute_values(t, "href")))
@@ -135,7 +135,7 @@ def link_targets(html: Column) -> Column:
 def page_markup(html: Column) -> Column:
     """The page without comments, scripts and styles, and only with tags that structure it."""
     names = _kept_names() + ("a", "html", "meta", "time", "title")
-    pattern = rf"(?:{NOT_TEXT})|({tag(*names)})|{ANY_TAG}"
+    pattern = rf"(?=<)(?:{NOT_TEXT}|({tag(*names)})|{ANY_TAG})"
     return F.regexp_replace(F.coalesce(html, F.lit("")), _flags(pattern), "$2 ")
 
 

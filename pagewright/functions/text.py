@@ -10,7 +10,8 @@ from pagewright.functions.binding import let
 
 # All characters the Python string type calls white space, from its own definition.
 WHITESPACE = "".join(char for char in map(chr, range(0x3001)) if char.isspace())
-LINE_BREAK_RE = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Characters besides the newline that end a line.
+LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def strip(text: Column) -> Column:
@@ -21,16 +22,23 @@ def strip(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Single spaces, no spaces around newlines, at most one empty line in a row; NULL gives ''."""
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    text = F.replace(text, F.lit("\r"), F.lit("\n"))
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    text = F.regexp_replace(text, " ?\n ?", "\n")
-    text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    return strip(text)
+    text = F.replace(F.replace(text, F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit(" "))
+    # Plain replacements search bytes; only runs of spaces and newlines need a pattern.
+    text = F.regexp_replace(text, " {2,}", " ")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
+
+
+def split_lines(text: Column) -> Column:
+    """Array of lines. "\\r\\n" gives an empty line more, so use it where blank lines do not count."""
+    for char in LINE_BREAKS:
+        text = F.replace(text, F.lit(char), F.lit("\n"))
+    return F.split(text, "\n")
 
 
 def stripped_lines(text: Column) -> Column:
     """Array of the non-blank lines, stripped."""
-    return F.filter(F.transform(F.split(text, LINE_BREAK_RE), strip), lambda line: line != "")
+    return F.filter(F.transform(split_lines(text), strip), lambda line: line != "")
 
 
 def repetition_penalty(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import LINE_BREAK_RE, strip
+from pagewright.functions.text import split_lines, strip
 from pagewright.functions.urls import lenient_unquote
 
 _RULES = ("allow", "disallow", "crawl-delay", "request-rate")
@@ -18,7 +18,8 @@ def read_robots(documents: DataFrame) -> DataFrame:
     behind an empty line without a new user-agent line belong to no group. Windows run over the lines
     of one file.
     """
-    lines = documents.select("host_key", F.posexplode(F.split("body", LINE_BREAK_RE)).alias("line_no", "line"))
+    body = F.replace("body", F.lit("\r\n"), F.lit("\n"))
+    lines = documents.select("host_key", F.posexplode(split_lines(body)).alias("line_no", "line"))
     content = strip(F.substring_index("line", "#", 1))
     pair = lines.select(
         "host_key",

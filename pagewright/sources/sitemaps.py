@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright import schemas
 from pagewright.functions import fixed
-from pagewright.functions.text import LINE_BREAK_RE, strip
+from pagewright.functions.text import strip, stripped_lines
 from pagewright.storage import materialize
 
 
@@ -22,7 +22,7 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def listed_urls(body: Column, comments: bool = True) -> Column:
     """Array of the URLs in a text list; with ``comments``, lines starting with '#' are dropped."""
-    lines = F.filter(F.transform(F.split(body, LINE_BREAK_RE), strip), lambda line: line != "")
+    lines = stripped_lines(body)
     return F.filter(lines, lambda line: ~line.startswith("#")) if comments else lines
 
 

@@ -650,7 +650,7 @@ def attempts_text(attempts) -> F.Column:
 
 @query("normalize_text", f"SELECT doc_id, {S.normalize('text')} AS text FROM documents")
 def normalize_text(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return T.documents(spark, sf).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 TOKENS_SQL = r"""WITH t AS (
@@ -775,7 +775,7 @@ def attempt_log(spark, sf):
     UNION ALL SELECT 'p' || page_id, {S.penalty('text')} FROM (SELECT page_id, {S.text_of('html')} AS text FROM pages)""",
 )
 def repetition_penalty(spark, sf):
-    documents = T.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    documents = T.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     pages = html_to_text(spark, sf).select(F.concat(F.lit("p"), "page_id").alias("id"), "text")
     return documents.unionByName(pages).select("id", text.repetition_penalty(F.col("text")).alias("penalty"))
 
