@@ -11,7 +11,7 @@ from pagewright.operators.robots import with_robots_verdict
 from pagewright.operators.seeds import external_reason, first_per_site, url_reason
 from pagewright.schemas import CrawlParams
 from pagewright.sources.fetched import fetch_failed, is_html
-from pagewright.storage import materialize, materialize_by
+from pagewright.storage import forget, materialize, materialize_by
 
 
 def _verdict(params: CrawlParams) -> Column:
@@ -66,8 +66,8 @@ def bfs_discover(
         F.lit(0).alias("done"),
         url_host("url").alias("start_host"),
     )
-    edges = materialize_by(edges.where("src <> dst").distinct(), "src")
-    pages = materialize_by(pages.select("url", "status", "content_type"), "url")
+    edges, edges_name = materialize_by(edges.where("src <> dst").select("src", "dst"), "src")
+    pages, pages_name = materialize_by(pages.select("url", "status", "content_type"), "url")
     rules = materialize(robots) if params.respect_robots and robots is not None else None
     verdict = _verdict(params)
     limit = params.max_pages
@@ -95,6 +95,7 @@ def bfs_discover(
         if max_levels is not None and depth >= max_levels:
             break
         frontier = _next_frontier(accepted, edges, discovered, limit)
+    forget(sites.sparkSession, edges_name, pages_name)
     found = _union(discovered) if discovered else accepted.select("site_id", "url", "depth", "ord")
     earliest = F.min(F.struct("depth", "reason")).alias("earliest")
     skips = _union(skipped).groupBy("site_id", "url").agg(earliest)

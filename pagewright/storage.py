@@ -33,13 +33,22 @@ def materialize(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def materialize_by(frame: DataFrame, key: str) -> DataFrame:
-    """Like ``materialize``, bucketed by ``key``: joins on it in every later round need no shuffle of
-    this side. One file per bucket, as the rows are brought together by the same hash first."""
+def materialize_by(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Like ``materialize``, without duplicate rows and bucketed by ``key``; also gives the table name.
+
+    Joins on the key in every later round need no shuffle of this side. The rows are brought together
+    by the same hash first, which makes one file per bucket and serves the duplicate check as well.
+    """
     spark = frame.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"pagewright_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/pagewright/{name}"
-    writer = frame.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer = frame.repartition(buckets, key).distinct().write.bucketBy(buckets, key).sortBy(key)
     writer.format("parquet").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
+
+
+def forget(spark: SparkSession, *names: str) -> None:
+    """Remove bucketed tables from the session's catalog; their files stay."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
