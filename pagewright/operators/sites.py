@@ -15,7 +15,6 @@ from pagewright.schemas import CrawlParams
 
 # Longest site dump that is put together as one string; longer ones stay chunks.
 MAX_ASSEMBLED_CHARS = 64 * 1024 * 1024
-HEAD, SITEMAP, MIDDLE, SKIPPED, TAIL = "head", "sitemap", "middle", "skipped", "tail"
 
 
 def site_counts(sites: DataFrame, sitemap: DataFrame, pages: DataFrame) -> DataFrame:

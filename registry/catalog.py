@@ -245,8 +245,6 @@ def read_api_payload(spark, sf):
 @query(
     "canonicalize_url",
     f"""WITH {S.BASE} SELECT url, canon AS canonical_url FROM base
-    UNION ALL SELECT 'HTTP://user@' || url, {S.canon("'http://' || regexp_extract(url, '://(.*)', 1)")}
-      FROM (SELECT regexp_replace(url, '^https?', 'x') AS url FROM pages) WHERE false
     UNION ALL SELECT upper(regexp_extract(url, '^([a-z]+://[^/]+)', 1)) || ':' ||
         CASE WHEN url LIKE 'https%' THEN '443' ELSE '80' END || '//a/./b/../' ||
         regexp_extract(url, '^[a-z]+://[^/]+/(.*)', 1), {S.canon("regexp_replace(url, '^([a-z]+://[^/]+)/', '\\1/a/')")} FROM pages
