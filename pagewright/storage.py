@@ -22,13 +22,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the shared folder; nothing is there yet."""
+    return f"{checkpoint_dir(spark)}/pagewright/{uuid.uuid4().hex}"
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared folder once and read it back: short lineage, exact statistics.
 
     The files outlive lost executors, and Spark sizes later joins by what was really written.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark)}/pagewright/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
