@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import quality
+from pagewright.llm import fingerprints, line_dedup, mixing, packing, quality, sql, url_filter, warc
+from pagewright.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,44 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_lempel_ziv_fingerprints")
+def lempel_ziv_fingerprints(spark, sf):
+    return fingerprints.neighbour_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op5_line_dedup", sql.LINE_DEDUP)
+def dedup_lines(spark, sf):
+    kept = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_poisson_mixing", sql.POISSON_MIXING)
+def poisson_mixing(spark, sf):
+    mixed = mixing.replicated(table(spark, sf, "documents"))
+    return mixed.select(
+        "doc.doc_id", "doc.source", F.round("rate", 9).alias("rate"), "copies", "copy", "place", F.md5("doc.text").alias("text_md5")
+    )
+
+
+@query("op7_url_vocabulary", sql.URL_VOCABULARY)
+def url_vocabulary(spark, sf):
+    judged = url_filter.judge_urls(table(spark, sf, "pages"))
+    terms = {c: F.array_join(c, ",") for c in ("strict_terms", "soft_terms")}
+    return judged.withColumns(terms)
+
+
+@query("op8_warc_dictionary", sql.WARC_DICTIONARY)
+def warc_dictionary(spark, sf):
+    path = shared_path(spark)
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).drop("payload", "url")
+
+
+@query("op9_packing")
+def pack(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query("op10_weak_supervision")
 def weak_supervision(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
