@@ -64,12 +64,13 @@ def source_rates(docs: DataFrame, targets: DataFrame | None, temperature: float,
     weighted = materialize(weighted.where("weight > 0 AND amount > 0"))
     # Sums over sources in a fixed order, so that the rates are the same doubles in every run.
     ordered = F.array_sort(F.collect_list(F.struct("weight", "amount")))
-    lists = weighted.agg(ordered.alias("sources")).select(
-        F.aggregate("sources", F.lit(0.0), lambda total, x: total + x["weight"]).alias("all_weight"),
-        F.aggregate("sources", F.lit(0.0), lambda total, x: total + x["amount"]).alias("all_amount"),
+    sums = weighted.agg(ordered.alias("sources")).select(
+        F.aggregate("sources", F.lit(0.0), lambda total, x: total + x["weight"]).alias("weight"),
+        F.aggregate("sources", F.lit(0.0), lambda total, x: total + x["amount"]).alias("amount"),
     )
-    rate = F.col("weight") / F.col("all_weight") * F.lit(float(total)) * F.col("all_amount") / F.col("amount")
-    rated = weighted.join(F.broadcast(lists)).withColumn("rate", rate)
+    every = sums.first()
+    rate = F.col("weight") / F.lit(every["weight"]) * F.lit(float(total)) * F.lit(every["amount"]) / F.col("amount")
+    rated = weighted.withColumn("rate", rate)
     rated = rated.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
     return rated.select("source", "amount", "rate", "parts", distribution(F.col("rate") / F.col("parts")).alias("sums"))
 

@@ -17,6 +17,8 @@ packed each; long documents give several pieces, numbered by ``start``; an empty
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -35,53 +37,84 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 MERGE = 16
 NEARLY_FULL = 0.98
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, is_open boolean"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
-    """Ids of many texts at a time; keeps up to ``CACHED_WORDS`` words with their ids between calls."""
+    """Ids of texts; keeps up to ``CACHED_WORDS`` words with their ids between calls.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Most words are Latin letters, perhaps with a final mark. For them normalisation is lower-casing and
+    pre-tokenization cuts off the mark, so the tokenizer's model is asked directly; all other words go
+    through the whole tokenizer. ``exact`` turns that off.
+    """
+
+    #: Letters for which lower-casing is one to one and composition changes nothing.
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+    def __init__(self, path: str, exact: bool = False):
+        from tokenizers import Tokenizer
 
-    def _forget(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.ends = np.zeros(1, dtype=np.int64)
+        self.tokenizer, self.exact = Tokenizer.from_file(path), exact
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids, counts = [], np.zeros(len(words), dtype=np.int64)
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word, as bytes, by the whole tokenizer."""
         for at in range(0, len(words), 20_000):
-            part = [w.decode() for w in words[at : at + 20_000]]
+            part = words[at : at + 20_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(found.ids, dtype=np.uint32))
-            owners = np.array(found.word_ids, dtype=np.int64)
-            counts[at : at + len(part)] = np.bincount(owners, minlength=len(part))
-        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+            counts = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part))
+            ids, begin = np.array(found.ids, dtype="<u4"), 0
+            for stop in np.cumsum(counts).tolist():
+                yield ids[begin:stop].tobytes()
+                begin = stop
+
+    def _body(self, body: str) -> bytes:
+        """Ids of lower-case letters, or of one mark."""
+        found = self.bodies.get(body)
+        if found is None:
+            spelled = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = self.bodies[body] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _learned(self, words: list[bytes]) -> dict[bytes, bytes]:
+        learned, others = {}, []
+        for word in words:
+            text = word.decode()
+            if text.isascii() and text.isalpha() and not self.exact:
+                learned[word] = self._body(text.lower())
+            elif (plain := self.PLAIN.fullmatch(text)) and not self.exact:
+                body, mark = plain.groups()
+                learned[word] = self._body(body.lower()) + (self._body(mark) if mark else b"")
+            else:
+                others.append(word)
+        learned.update(zip(others, self._whole([w.decode() for w in others]), strict=True))
+        return learned
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian unsigned 32-bit numbers."""
         split = [t.encode().split() for t in texts]
-        # Sorted, so that equal calls see equal words in equal order.
-        new = sorted(set().union(*split) - self.codes.keys())
-        if len(self.codes) + len(new) > CACHED_WORDS:
-            self._forget()
-            new = sorted(set().union(*split))
-        if new:
-            self._learn(new)
-        result = []
-        for words in split:
-            codes = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
-            lengths = self.ends[codes + 1] - self.ends[codes]
-            stops = np.cumsum(lengths)
-            shift = np.repeat(self.ends[codes] - stops + lengths, lengths)
-            result.append(self.ids[shift + np.arange(len(shift))])
-        return result
+        # Few of the words of these texts are distinct, so the large table is asked little.
+        words = set().union(*split)
+        own = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        # Sorted, so that equal calls ask in equal order.
+        learned = self._learned(sorted(words - own.keys()))
+        if len(self.known) + len(learned) > CACHED_WORDS:
+            self.known, self.bodies = dict(own), {}
+        self.known |= learned
+        find = (own | learned).__getitem__
+        return [np.frombuffer(b"".join(map(find, words)), dtype="<u4") for words in split]
 
 
 class Windows:
@@ -129,10 +162,10 @@ class Windows:
 
 
 def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def _slices(items: list[str], most: int = 2 << 20) -> Iterable[tuple[int, int]]:
+def _slices(items: list[str], most: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters."""
     begin = size = 0
     for i, text in enumerate(items):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import fingerprints, line_dedup, mixing, packing, quality, sql, url_filter, warc
+from pagewright.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality, sql, url_filter, warc
 from pagewright.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def lempel_ziv_fingerprints(spark, sf):
     return fingerprints.neighbour_fingerprints(table(spark, sf, "documents"))
 
 
+@query("op2_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf):
+    return ngram_join.similar_documents(table(spark, sf, "documents"))
+
+
 @query("op5_line_dedup", sql.LINE_DEDUP)
 def dedup_lines(spark, sf):
     kept = line_dedup.dedup_lines(table(spark, sf, "documents"))
