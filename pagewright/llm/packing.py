@@ -21,11 +21,12 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -88,33 +89,40 @@ class WordTokenizer:
             found = self.bodies[body] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def _learned(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
         learned, others = {}, []
         for word in words:
-            text = word.decode()
-            if text.isascii() and text.isalpha() and not self.exact:
-                learned[word] = self._body(text.lower())
-            elif (plain := self.PLAIN.fullmatch(text)) and not self.exact:
+            if word.isascii() and word.isalpha() and not self.exact:
+                learned[word] = self._body(word.lower())
+            elif (plain := self.PLAIN.fullmatch(word)) and not self.exact:
                 body, mark = plain.groups()
                 learned[word] = self._body(body.lower()) + (self._body(mark) if mark else b"")
             else:
                 others.append(word)
-        learned.update(zip(others, self._whole([w.decode() for w in others]), strict=True))
+        learned.update(zip(others, self._whole(others), strict=True))
         return learned
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [t.encode().split() for t in texts]
-        # Few of the words of these texts are distinct, so the large table is asked little.
-        words = set().union(*split)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array without NULLs, as little-endian unsigned 32-bit numbers."""
+        lists = pc.ascii_split_whitespace(texts)
+        encoded = lists.flatten().dictionary_encode()
+        words = encoded.dictionary.to_pylist()
         own = {w: ids for w in words if (ids := self.known.get(w)) is not None}
         # Sorted, so that equal calls ask in equal order.
-        learned = self._learned(sorted(words - own.keys()))
+        learned = self._learned(sorted(own.keys() ^ set(words)))
         if len(self.known) + len(learned) > CACHED_WORDS:
             self.known, self.bodies = dict(own), {}
         self.known |= learned
-        find = (own | learned).__getitem__
-        return [np.frombuffer(b"".join(map(find, words)), dtype="<u4") for words in split]
+        own |= learned
+        parts = [own[w] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4)
+        ids = np.frombuffer(b"".join(parts), dtype="<u4")
+        codes = encoded.indices.to_numpy()
+        lengths = np.diff(ends, prepend=0)[codes]
+        stops = np.cumsum(lengths)
+        flat = ids[np.repeat(ends[codes] - stops, lengths) + np.arange(len(stops) and stops[-1])]
+        bounds = np.concatenate([[0], stops])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [flat[begin:stop] for begin, stop in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class Windows:
@@ -165,16 +173,15 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def _slices(items: list[str], most: int = 1 << 20) -> Iterable[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters."""
-    begin = size = 0
-    for i, text in enumerate(items):
-        size += len(text)
-        if size >= most:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(items):
-        yield begin, len(items)
+def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts, of about ``most`` bytes each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        done = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield texts.slice(begin, stop - begin)
+        begin = stop
 
 
 def pack(
@@ -221,9 +228,10 @@ def pack(
         id_type, out, doc = pa.int64(), [], 0
         for batch in batches:
             id_type = batch["doc_id"].type
-            ids, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for begin, stop in _slices(texts):
-                for doc_id, tokens in zip(ids[begin:stop], words.encode(texts[begin:stop]), strict=True):
+            ids = iter(batch["doc_id"].to_pylist())
+            for part in _slices(pc.fill_null(batch["text"], "")):
+                for tokens in words.encode(part):
+                    doc_id = next(ids)
                     tokens = np.append(tokens, np.uint32(end))
                     kept[doc] = [doc_id, tokens, len(tokens)]
                     for window, pieces in windows.place(doc, 0, len(tokens)):
