@@ -5,10 +5,14 @@ is the same for all sets. Such a prefix filter is applied under several orders a
 
 1. By rarity. Document frequencies are counted over the whole corpus in two steps. First, on a quarter of
    the tokens (chosen by hash): a set in which enough of these occur nowhere else can have no partner and is
-   out. Then, for the sets that are left, on half of the tokens, which are put in order of frequency; the
-   other half follows by hash. Rare tokens lead, so a passage that many texts share makes no candidates.
+   out. Then, for the sets that are left, on all tokens, which are put in order of frequency. Rare tokens
+   lead, so a passage that many texts share makes no candidates.
 2. and 3. By two hashes. A candidate pair that shares no token in either prefix is dropped unverified.
 
+Before that, a pair must pass a bound on its difference: every set has ``PARITY`` bits, each the parity of
+the number of its tokens with one hash, so the bits in which two sets differ cannot outnumber the tokens in
+which they do. It drops nearly all pairs of a large group of texts that are alike, but not enough.
+
 What passes is verified on the whole sets. Equal sets are one class from the start. As only components are
 asked for, a posting list is first tied to its smallest member, a star; after that only pairs whose
 components still differ are made, between those outside of the smallest member's component and the rest. So a
@@ -35,6 +39,7 @@ from pagewright.storage import materialize
 
 #: Odd numbers that spread products over 64 bits.
 SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+PARITY = 1024
 #: Ids of sets that may have a partner are broadcast up to this many rows (16 MB); more are joined by id.
 BROADCAST_IDS = 2_000_000
 
@@ -53,6 +58,10 @@ class Join:
     def prefix(self, n):
         return n - self.overlap(n) + 1
 
+    def difference(self, total: Column) -> Column:
+        """Tokens in which two sets of so many tokens together can differ at most."""
+        return total - 2 * F.ceil(total * self.percent / (100 + self.percent))
+
     def prefix_column(self, n: Column) -> Column:
         return n - F.floor((n * self.percent + 99) / 100) + 1
 
@@ -115,7 +124,7 @@ def _partnered(sets: DataFrame, join: Join) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """For the wanted ids: n, all tokens, those that the rarity order can need, and two hashed prefixes."""
+    """For the wanted ids: n, all tokens, and the prefixes under the two hashed orders."""
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
@@ -124,37 +133,34 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 every = [tokens(t, join.words) for t in part["text"].to_pylist()]
-                halves, fillers, second, third = [], [], [], []
+                second, third, parity = [], [], []
                 for x in every:
                     most = join.prefix(len(x))
-                    half = int(np.searchsorted(x, np.uint64(1 << 63)))
-                    halves.append(x[:half])
-                    fillers.append(x[half : max(half, most)])
+                    bits = np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+                    parity.append(np.packbits((bits & 1).astype(np.uint8)).view(np.int64))
                     for out, factor in ((second, SPREAD[2]), (third, SPREAD[3])):
                         order = np.sort(_mixed(x * factor))[:most]
                         out.append((order >> np.uint64(32)).astype(np.uint32))
                 columns = [part["doc_id"], pa.array([len(x) for x in every], pa.int64())]
-                columns += [_lists(x, np.int64) for x in (every, halves, fillers)]
-                columns += [_lists(x, np.int32) for x in (second, third)]
+                columns += [_lists(every, np.int64), _lists(second, np.int32), _lists(third, np.int32), _lists(parity, np.int64)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["id", "n", "tokens", "half", "filler", "second", "third"]
-    schema = "id long, n long, tokens array<long>, half array<long>, filler array<long>, second array<int>, third array<int>"
+    names = ["id", "n", "tokens", "second", "third", "parity"]
+    schema = "id long, n long, tokens array<long>, second array<int>, third array<int>, parity array<long>"
     return rows.mapInArrow(run, schema)
 
 
 def _postings(whole: DataFrame, join: Join) -> DataFrame:
-    """token, id, n: the prefix of every set in the order of rarity, without tokens of one set only."""
-    rows = whole.select("id", F.explode("half").alias("token"))
+    """token and ``set`` (id, n, parity): each set's prefix in the order of rarity, without tokens of one set only."""
+    rows = whole.select("id", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = rows.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("known"))
-    sets = whole.select("id", "n", "filler", F.size("half").alias("half")).join(known, "id", "left")
-    known = F.coalesce("known", F.array().cast("array<struct<df:bigint,token:bigint>>"))
+    sets = whole.select("id", "n", "parity").join(known, "id")
     # Unique tokens lead the order and make no candidates; what they leave of the prefix goes on.
-    left = join.prefix_column(F.col("n")) - (F.col("half") - F.size(known))
-    rare = F.slice(F.array_sort(known), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    prefix = F.concat(F.transform(rare, lambda x: x["token"]), "filler")
-    return sets.select(F.explode(prefix).alias("token"), "id", "n")
+    left = join.prefix_column(F.col("n")) - (F.col("n") - F.size("known"))
+    rare = F.slice(F.array_sort("known"), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    member = F.struct("id", "n", "parity").alias("set")
+    return sets.select(F.explode(rare).alias("rare"), member).select("rare.token", "set")
 
 
 def _linked(pairs: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
@@ -174,33 +180,41 @@ def _linked(pairs: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
 
 
 def _near(a: Column, b: Column, join: Join) -> Column:
-    """Whether two sizes allow the threshold."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * join.percent
+    """Whether sizes and parities of two sets allow the threshold."""
+    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * join.percent
+    differ = F.lit(0)
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get(a["parity"], F.lit(i)).bitwiseXOR(F.get(b["parity"], F.lit(i))))
+    return sizes & (differ <= join.difference(a["n"] + b["n"]))
 
 
 def _stars(postings: DataFrame, join: Join) -> DataFrame:
-    """Each member of a posting list with its smallest member, where their sizes allow a link."""
-    first = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"))
-    rows = postings.join(first, "token").where(_near(F.col("n"), F.col("first.n"), join))
-    return rows.select(F.col("first.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    """Each member of a posting list with its smallest member, where the bounds allow a link."""
+    first = postings.groupBy("token").agg(F.min("set").alias("first"))
+    rows = postings.join(first, "token").where(F.col("set.id") != F.col("first.id"))
+    rows = rows.where(_near(F.col("set"), F.col("first"), join))
+    return rows.select(F.col("first.id").alias("a"), F.col("set.id").alias("b")).distinct()
 
 
 def _rest(postings: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
     """Pairs of members of one posting list that are in different components as yet."""
-    rows = postings.join(groups, postings["id"] == groups["node"], "left")
-    rows = materialize(rows.select("token", "id", "n", F.coalesce("component", "id").alias("part")))
+    rows = postings.join(groups, F.col("set.id") == groups["node"], "left")
+    rows = materialize(rows.select("token", "set", F.coalesce("component", "set.id").alias("part")))
     sides = rows.groupBy("token").agg(
-        F.min(F.struct("id", "part")).alias("first"), F.min("part").alias("low"), F.max("part").alias("high")
+        F.min(F.struct("set.id", "part")).alias("first"), F.min("part").alias("low"), F.max("part").alias("high")
     )
     split = sides.where("low <> high").select("token", F.col("first.part").alias("main"))
     members = rows.join(split, "token")
-    apart = members.where("part <> main").select("token", F.struct("id", "n", "part").alias("x"))
-    other = members.select("token", F.struct("id", "n", "part", "main").alias("y"))
+    apart = members.where("part <> main").select("token", F.struct("set", "part").alias("x"))
+    other = members.select("token", F.struct("set", "part", "main").alias("y"))
     # Pairs of two members outside of the main component meet twice; one of the two is enough.
-    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    met = apart.join(other, "token").where(once & (F.col("x.part") != F.col("y.part")))
-    met = met.where(_near(F.col("x.n"), F.col("y.n"), join))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.set.id") < F.col("y.set.id"))
+    differ = F.col("x.part") != F.col("y.part")
+    met = apart.join(
+        other, (apart["token"] == other["token"]) & differ & once & _near(F.col("x.set"), F.col("y.set"), join)
+    )
+    ids = F.col("x.set.id"), F.col("y.set.id")
+    return met.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
