@@ -173,7 +173,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of an array of texts, of about ``most`` bytes each."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     begin = 0
