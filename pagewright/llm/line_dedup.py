@@ -152,17 +152,15 @@ class LineIndex:
         return self._changed(docs, -1)
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        """doc_id, text and the digests of its common lines, as ``common``; one row per row of ``docs``."""
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        """Every row of ``docs`` as ``doc``, a struct, with the digests of its common lines as ``common``."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
         suspects = self._screened(self._keys(docs))
         common = self.refs.where(F.col("n_docs") >= self.min_docs).select("key")
         # One row per document and key on the left, one per key on the right: skew is on the left only,
         # where the adaptive join can split it.
         hits = suspects.join(common, "key").groupBy("doc_id").agg(F.collect_list("key").alias("common"))
-        joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["doc_id"]), "left").select(
-            rows["doc_id"], "text", F.coalesce("common", F.array().cast("array<binary>")).alias("common")
-        )
-        return joined
+        joined = rows.join(hits, F.col("doc.doc_id").eqNullSafe(hits["doc_id"]), "left")
+        return joined.select("doc", F.coalesce("common", F.array().cast("array<binary>")).alias("common"))
 
     def _keys(self, docs: DataFrame) -> DataFrame:
         """Distinct doc_id and key of all lines that have a key."""
@@ -216,20 +214,15 @@ class LineIndex:
 
 
 def kept_text(cleaned: DataFrame) -> DataFrame:
-    """From ``LineIndex.clean``: doc_id, text, n_lines, n_dropped and the text that stays, as ``kept``."""
-    lines = F.col("lines")
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("common"), _digest(x)))
-    kept = F.when(F.size("common") == 0, lines).otherwise(stays)
-    return (
-        cleaned.withColumn("lines", _lines(F.col("text")))
-        .withColumn("stays", kept)
-        .select(
-            "doc_id",
-            "text",
-            F.size("lines").cast("long").alias("n_lines"),
-            (F.size("lines") - F.size("stays")).cast("long").alias("n_dropped"),
-            F.array_join("stays", "\n").alias("kept"),
-        )
+    """From ``LineIndex.clean``: doc, n_lines, n_dropped and the text that stays, as ``kept``."""
+    stays = F.filter("lines", lambda x: ~F.array_contains(F.col("common"), _digest(x)))
+    kept = F.when(F.size("common") == 0, F.col("lines")).otherwise(stays)
+    split = cleaned.withColumn("lines", _lines(F.col("doc.text"))).withColumn("stays", kept)
+    return split.select(
+        "doc",
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("stays")).cast("long").alias("n_dropped"),
+        F.array_join("stays", "\n").alias("kept"),
     )
 
 

@@ -237,3 +237,10 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     groups = components(links.unionByName(copies))
     result = sets.join(groups, sets["doc_id"] == groups["node"], "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
+    found = similar_documents(docs, words, percent)
+    others = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
+    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")

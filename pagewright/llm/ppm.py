@@ -1,9 +1,9 @@
-"""Language-model scores by prediction by partial matching (PPM, escape method C, with symbol exclusion).
+"""Language-model scores by prediction by partial matching (PPM, escape method D, with symbol exclusion).
 
 The model predicts a document's normal form (words in lower case with single spaces between, then an end
 symbol) byte by byte from the ``ORDER`` bytes before. A context that has not seen the byte escapes to the
-next shorter one, with the number of its distinct bytes against its count as odds, and bytes that the longer
-context has seen are excluded from the shorter one's counts. Below the empty context all bytes are equal.
+next shorter one: each distinct byte gives up half of one count to the escape. Bytes that the longer context
+has seen are excluded from the shorter one's counts. Below the empty context all bytes are equal.
 
 Training counts the (ORDER + 1)-grams of all training documents in one aggregate; shorter contexts are sums
 of longer ones. The trie goes to every task: at most ``MOST_GRAMS`` grams of each order, those seen most often
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagewright.storage import materialize
 
-ORDER = 4
+ORDER = 5
 START, FINISH = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 256
 MOST_GRAMS = 1_000_000
@@ -147,11 +147,11 @@ class Trie:
                 total, distinct = _at(self.totals[k], context), _at(self.distinct[k], context)
             place, hit = _find(self.grams[k], part)
             hit &= seen
-            room = np.maximum(total + distinct, 1)
-            result[todo[hit]] += np.log10(_at(self.counts[k], place)[hit] / room[hit])
+            room = np.maximum(total, 1)
+            result[todo[hit]] += np.log10((_at(self.counts[k], place)[hit] - 0.5) / room[hit])
             # A context with nothing left to code escapes for sure.
             miss = seen & ~hit
-            escape = np.where(distinct > 0, distinct / room, 1.0)
+            escape = np.where(distinct > 0, 0.5 * distinct / room, 1.0)
             result[todo[miss]] += np.log10(escape[miss])
             child[todo] = np.where(seen, context, -1)
             todo = todo[~hit]
@@ -225,11 +225,17 @@ def _threshold(counts: DataFrame, most: int) -> int:
 
 
 def train(grams: DataFrame, most: int = MOST_GRAMS) -> Trie:
-    """The trie of the counted grams (key, n): all of them, or the ``most`` frequent of each order."""
-    least = _threshold(grams, most)
-    orders = []
+    """The trie of the counted grams (key, n): all of them, or the ``most`` frequent of each order.
+
+    Longer grams have smaller counts, so the least count of an order is never below that of shorter grams, and
+    with a gram all its ends are in the trie.
+    """
+    orders, least = [], 1
     for k in range(ORDER + 1):
-        part = grams if k == ORDER else grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        ending = F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")
+        part = grams.groupBy(ending).agg(F.sum("n").alias("n")) if k < ORDER else grams
+        part = materialize(part)
+        least = max(least, _threshold(part, most))
         rows = part.where(F.col("n") >= least).toArrow()
         keys, counts = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
         order = np.argsort(keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import fingerprints, line_dedup, mixing, ngram_join, packing, quality, sql, url_filter, warc
+from pagewright.llm import fingerprints, line_dedup, mixing, ngram_join, packing, ppm, quality, sql, toxicity, url_filter, warc
 from pagewright.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,10 +38,20 @@ def ngram_jaccard_join(spark, sf):
     return ngram_join.similar_documents(table(spark, sf, "documents"))
 
 
+@query("op3_toxicity")
+def score_toxicity(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_ppm_scores")
+def ppm_scores(spark, sf):
+    return ppm.score(table(spark, sf, "documents"))
+
+
 @query("op5_line_dedup", sql.LINE_DEDUP)
 def dedup_lines(spark, sf):
     kept = line_dedup.dedup_lines(table(spark, sf, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op6_poisson_mixing", sql.POISSON_MIXING)

@@ -9,7 +9,7 @@ rows that score alike. Every document is then scored.
 Defined results: a NULL text is empty, and the empty text is scored like any other by its (zero) features;
 equal texts get equal scores; labels of unknown documents, NULL labels and labels that contradict each other
 for one document are not learned from; without labels of both classes every score is the share of toxic
-labels (0 without any); an empty table gives no rows.
+labels (0 without any); rows without doc_id are scored too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -174,6 +174,13 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: int = 5, training_rows:
         isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(ranked)
         out = trees.transform(out.withColumn("vector", array_to_vector("features"))).withColumn("raw", raw)
         out = isotonic.transform(out)
-        score = F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))
+        # A pool without exceptions does not make certainty.
+        score = F.least(F.greatest(F.col("calibrated"), F.lit(0.001)), F.lit(0.999))
     out = out.withColumn("score", score)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    toxic = materialize(scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct())
+    return docs.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
