@@ -14,6 +14,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(
+    items: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    value: Callable[[Column], Column],
+    kind: str,
+    block: int = 128,
+) -> Column:
+    """Array of ``value(state)`` behind each item, where ``step(state, item)`` moves the state on.
+
+    An aggregate that appends to a list copies the list each time, which is quadratic. Here a list never
+    gets longer than ``block``: blocks of items are walked one after the other, and only the finished lists
+    are kept, so the cost of n items is about n * block / 2 + (n / block) ** 2 / 2 copies.
+    """
+
+    def extended(lists: Column, state: Column, more: Column) -> Column:
+        return F.struct(state.alias("state"), F.array_append(lists, more).alias("values"))
+
+    def walk(state: Column, part: Column) -> Column:
+        none = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("values"))
+        return F.aggregate(
+            part,
+            none,
+            lambda now, item: let(step(now["state"], item), lambda s: extended(now["values"], s, value(s))),
+        )
+
+    def by_blocks(whole: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(whole), F.lit(block))
+        parts = F.transform(first, lambda i: F.slice(whole, i, block))
+        none = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("values"))
+        walked = F.aggregate(
+            parts,
+            none,
+            lambda now, part: let(
+                walk(now["state"], part), lambda w: extended(now["values"], w["state"], w["values"])
+            ),
+        )
+        return F.when(F.size(whole) > 0, F.flatten(walked["values"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(items, by_blocks)
+
+
 def after(text: Column, prefix_length: Column | int) -> Column:
     """The part of ``text`` behind its first ``prefix_length`` characters."""
     length = prefix_length if isinstance(prefix_length, Column) else F.lit(prefix_length)

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
-from pagewright.functions.binding import after, blank_to_null, by_name, let
+from pagewright.functions.binding import after, blank_to_null, by_name, let, running
 from pagewright.functions.text import strip
 
 # The rest of a tag: attributes with quoted values, or anything up to '>' if the quotes are uneven.
@@ -77,6 +77,11 @@ def _kept_names() -> tuple[str, ...]:
     return tuple(fixed.BLOCK_TAGS) + tuple(fixed.SKIP_TAGS)
 
 
+def _ends_heading() -> tuple[str, ...]:
+    """Block tags that cannot stand inside a heading, so an unclosed one ends before them."""
+    return tuple(t for t in fixed.BLOCK_TAGS if t not in ("br", "hr"))
+
+
 def _drop_templates(markup: Column) -> Column:
     """Remove what lies inside template elements, nested ones included."""
     skip = tag(*fixed.SKIP_TAGS)
@@ -85,20 +90,20 @@ def _drop_templates(markup: Column) -> Column:
     )
     is_skip = lambda piece: tag_name(piece).isin(*fixed.SKIP_TAGS)
 
-    def step(state: Column, piece: Column) -> Column:
-        depth, kept = state["depth"], state["kept"]
-        return F.struct(
+    def step(depth: Column, piece: Column) -> Column:
+        return (
             F.when(~is_skip(piece) | is_empty_tag(piece), depth)
             .when(piece.startswith("</"), F.greatest(depth - 1, F.lit(0)))
             .otherwise(depth + 1)
-            .alias("depth"),
-            F.when(is_skip(piece) | (depth > 0), kept)
-            .otherwise(F.concat(kept, F.lit(" "), piece))
-            .alias("kept"),
         )
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
-    visible = F.aggregate(pieces, start, step, lambda state: state["kept"])
+    def shown(found: Column) -> Column:
+        depths = running(found, F.lit(0), step, lambda depth: depth, "int")
+        placed = F.zip_with(found, depths, lambda piece, depth: F.struct(piece.alias("piece"), depth.alias("depth")))
+        outside = F.filter(placed, lambda p: ~is_skip(p["piece"]) & (p["depth"] == 0))
+        return F.concat(F.lit(" "), F.array_join(F.transform(outside, lambda p: p["piece"]), " "))
+
+    visible = let(pieces, shown)
     return F.when(markup.rlike(r"(?i)<template[\s/>]"), visible).otherwise(markup)
 
 
@@ -159,7 +164,7 @@ def metadata(markup: Column) -> Column:
 
     title = F.regexp_extract(markup, _flags(r"<title(?=[\s/>])" + TAG_END + f"({UP_TO_TAG})"), 1)
     heading = F.regexp_extract(
-        markup, _flags(r"<h1(?=[\s/>])" + TAG_END + r"(.*?)(?:</h1\s*>|\z)"), 1
+        markup, _flags(r"<h1(?=[\s/>])" + TAG_END + rf"(.*?)(?:</h1\s*>|(?={tag(*_ends_heading())})|\z)"), 1
     )
     heading = F.regexp_replace(heading, _flags(ANY_TAG), " ")
     time_tag = F.regexp_extract(markup, _flags(r"<time(?=[\s/>])" + TAG_END), 0)
@@ -194,8 +199,8 @@ def segments(markup: Column) -> Column:
     """Page cut at region and link tags: array of struct(place, text, link).
 
     ``place`` holds the IN_* bits, from a walk over the tags that keeps one depth per kind of region
-    (a closing tag without an opening one leaves the depth at 0). The walk's state is a few numbers
-    and the list of places, so a page costs one pass over its own tags and no shuffle.
+    (a closing tag without an opening one leaves the depth at 0). The walk's state is a few numbers, and
+    places are listed by blocks of tags, so its cost grows with the page, and nothing is shuffled.
     """
     basic = REGION_TAGS + tuple(fixed.SKIP_TAGS) + ("a",)
     has_comments = markup.rlike(r"(?is)<(?:div|section|ol|ul)\s[^>]*(?:class|id)\s*=[^>]*comment")
@@ -266,20 +271,6 @@ def _places(parsed: Column) -> Column:
         )
 
     def step(state: Column, piece: Column) -> Column:
-        def record(now: Column) -> Column:
-            bits = (
-                F.when(now["main"] > 0, F.lit(IN_MAIN)).otherwise(F.lit(0))
-                + F.when(now["boilerplate"] > 0, F.lit(IN_BOILERPLATE)).otherwise(F.lit(0))
-                + F.when(now["nav_footer"] > 0, F.lit(IN_NAV_FOOTER)).otherwise(F.lit(0))
-                + F.when(now["table"] > 0, F.lit(IN_TABLE)).otherwise(F.lit(0))
-                + F.when(now["container_depth"] > 0, F.lit(IN_COMMENTS)).otherwise(F.lit(0))
-                + F.when(now["skip"] > 0, F.lit(HIDDEN)).otherwise(F.lit(0))
-            )
-            return F.struct(
-                *[now[k].alias(k) for k in (*depths, "container", "container_depth")],
-                F.array_append(state["places"], bits).alias("places"),
-            )
-
         # A comment container stays open until as many of its own tags are closed as were opened.
         inside = state["container_depth"] > 0
         same = piece["name"] == state["container"]
@@ -292,12 +283,17 @@ def _places(parsed: Column) -> Column:
             .otherwise(state["container_depth"])
             .alias("container_depth"),
         )
-        return let(now, record)
+        return now
+
+    def bits(now: Column) -> Column:
+        flags = {"main": IN_MAIN, "boilerplate": IN_BOILERPLATE, "nav_footer": IN_NAV_FOOTER, "table": IN_TABLE}
+        flags |= {"container_depth": IN_COMMENTS, "skip": HIDDEN}
+        total = F.lit(0)
+        for name, bit in flags.items():
+            total = total + F.when(now[name] > 0, F.lit(bit)).otherwise(F.lit(0))
+        return total
 
     start = F.struct(
-        *[F.lit(0).alias(k) for k in depths],
-        F.lit("").alias("container"),
-        F.lit(0).alias("container_depth"),
-        F.array().cast("array<int>").alias("places"),
+        *[F.lit(0).alias(k) for k in depths], F.lit("").alias("container"), F.lit(0).alias("container_depth")
     )
-    return F.aggregate(parsed, start, step, lambda state: state["places"])
+    return running(parsed, start, step, bits, "int")

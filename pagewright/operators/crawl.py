@@ -41,10 +41,12 @@ def bfs_discover(
     pages: DataFrame,
     params: CrawlParams,
     robots: DataFrame | None = None,
-    max_levels: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Discovered (site_id, url, depth, ord) and skipped (site_id, url, reason, depth).
 
+    With a budget, ``ord`` is the place in the site's queue. Without one all reachable pages are found and
+    ``ord`` is NULL, as nothing depends on the order within a level.
+
     ``sites`` is (site_id, start_url), ``edges`` (src, dst) with canonical URLs, ``pages`` one row
     (url, status, content_type) per canonical URL, ``robots`` the result of ``robots_by_host``.
 
@@ -76,24 +78,12 @@ def bfs_discover(
     while True:
         judged = materialize(_judge(frontier, pages, rules, verdict))
         passed = judged.where("reason is null")
-        ranked = first_per_site(passed, limit, "parent_ord", "url")
-        accepted = materialize(
-            ranked.where(F.col("rn") + F.col("done") <= limit).select(
-                "site_id",
-                "url",
-                F.lit(depth).alias("depth"),
-                (F.col("rn") + F.col("done")).alias("ord"),
-                "parent_ord",
-                "start_host",
-            )
-        )
+        accepted = _accepted(passed, limit, depth)
         skipped.append(_popped_skips(judged, accepted, limit, depth))
         if accepted.isEmpty():
             break
         discovered.append(accepted.select("site_id", "url", "depth", "ord"))
         depth += 1
-        if max_levels is not None and depth >= max_levels:
-            break
         frontier = _next_frontier(accepted, edges, discovered, limit)
     forget(sites.sparkSession, edges_name, pages_name)
     found = _union(discovered) if discovered else accepted.select("site_id", "url", "depth", "ord")
@@ -102,6 +92,15 @@ def bfs_discover(
     return found, skips.select("site_id", "url", "earliest.reason", "earliest.depth")
 
 
+def _accepted(passed: DataFrame, limit: int | None, depth: int) -> DataFrame:
+    """Pages of this level that are within the budget of their site."""
+    level, place = F.lit(depth).alias("depth"), (F.col("rn") + F.col("done")).alias("ord")
+    if limit is None:
+        return passed.select("site_id", "url", level, F.lit(None).cast("int").alias("ord"), "parent_ord", "start_host")
+    ranked = first_per_site(passed, limit, "parent_ord", "url").where(F.col("rn") + F.col("done") <= limit)
+    return materialize(ranked.select("site_id", "url", level, place, "parent_ord", "start_host"))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     whole = frames[0]
     for frame in frames[1:]:
@@ -109,8 +108,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _popped_skips(judged: DataFrame, accepted: DataFrame, limit: int, depth: int) -> DataFrame:
+def _popped_skips(judged: DataFrame, accepted: DataFrame, limit: int | None, depth: int) -> DataFrame:
     """Judged-away URLs that come before the page with which a site's budget ran out."""
+    if limit is None:
+        away = judged.where("reason is not null")
+        return away.select("site_id", "url", "reason", F.lit(depth).alias("depth"))
     last = accepted.where(F.col("ord") == limit).select(
         "site_id", F.struct("parent_ord", "url").alias("last_position")
     )
@@ -119,12 +121,15 @@ def _popped_skips(judged: DataFrame, accepted: DataFrame, limit: int, depth: int
     return away.where(before).select("site_id", "url", "reason", F.lit(depth).alias("depth"))
 
 
-def _next_frontier(accepted: DataFrame, edges: DataFrame, discovered: list[DataFrame], limit: int) -> DataFrame:
+def _next_frontier(accepted: DataFrame, edges: DataFrame, discovered: list[DataFrame], limit: int | None) -> DataFrame:
     """New URLs behind the pages of this level, for sites that have budget left."""
-    progress = accepted.groupBy("site_id").agg(F.max("ord").alias("done")).where(F.col("done") < limit)
-    parents = accepted.join(progress, "site_id").select(
-        "site_id", F.col("url").alias("src"), F.col("ord").alias("parent_ord"), "done", "start_host"
-    )
+    if limit is None:
+        parents = accepted.select("site_id", F.col("url").alias("src"), F.lit(0).alias("parent_ord"), F.lit(0).alias("done"), "start_host")
+    else:
+        progress = accepted.groupBy("site_id").agg(F.max("ord").alias("done")).where(F.col("done") < limit)
+        parents = accepted.join(progress, "site_id").select(
+            "site_id", F.col("url").alias("src"), F.col("ord").alias("parent_ord"), "done", "start_host"
+        )
     children = parents.join(edges, "src").groupBy("site_id", F.col("dst").alias("url"))
     earliest = children.agg(
         F.min("parent_ord").alias("parent_ord"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import entities, fixed, html
-from pagewright.functions.binding import blank_to_null, by_name, let
+from pagewright.functions.binding import blank_to_null, by_name, let, running
 from pagewright.functions.text import candidate_score, normalize_text, utc_now_iso
 
 META_FIELDS = ("title", "subtitle", "author", "date_published", "language")
@@ -252,41 +252,37 @@ def html_tokens(pages: DataFrame, key: str) -> DataFrame:
     ``skip_depth`` counts the script, style and template elements around an event. It is a running
     sum over the page's own events that never falls below 0 on a stray closing tag.
     """
-    from pyspark.sql import Window
-
     pattern = rf"(?is){html.NOT_TEXT}|{html.ANY_TAG}|[^<]++|<"
-    events = pages.select(
-        key,
-        F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(0))),
-    )
-    token = F.col("col")
-    raw = token.rlike(r"(?i)^<(?:script|style)[\s/>]") & token.rlike(r"(?is)(?<!/)>")
-    events = events.where(~token.rlike(r"^<[!?]")).select(
-        key,
-        "pos",
-        F.when(token.rlike("(?i)^</[a-z]"), F.lit("close"))
-        .when(html.is_empty_tag(token), F.lit("empty"))
-        .when(raw, F.lit("raw"))
-        .when(token.rlike("(?i)^<[a-z]"), F.lit("open"))
-        .otherwise(F.lit("text"))
-        .alias("kind"),
-        F.when(token.rlike("(?i)^</?[a-z]"), html.tag_name(token)).otherwise(F.lit("")).alias("name"),
-        F.when(token.rlike("(?i)^</?[a-z]"), F.lit("")).otherwise(token).alias("text"),
-    )
-    step = (
-        F.when(~F.col("name").isin(*fixed.SKIP_TAGS), F.lit(0))
-        .when(F.col("kind") == "open", F.lit(1))
-        .when(F.col("kind") == "close", F.lit(-1))
-        .otherwise(F.lit(0))
-    )
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = events.withColumn("opened", F.sum(step).over(so_far))
-    floor = F.least(F.lit(0), F.min("opened").over(so_far))
-    return summed.select(
-        key,
-        "pos",
-        "kind",
-        "name",
-        "text",
-        (F.col("opened") - floor).cast("int").alias("skip_depth"),
-    )
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(pattern), F.lit(0))
+
+    def event(token: Column) -> Column:
+        named = token.rlike("(?i)^</?[a-z]")
+        raw = token.rlike(r"(?i)^<(?:script|style)[\s/>]") & token.rlike(r"(?is)(?<!/)>")
+        kind = (
+            F.when(token.rlike(r"^<[!?]"), F.lit(None))
+            .when(token.rlike("(?i)^</[a-z]"), F.lit("close"))
+            .when(html.is_empty_tag(token), F.lit("empty"))
+            .when(raw, F.lit("raw"))
+            .when(token.rlike("(?i)^<[a-z]"), F.lit("open"))
+            .otherwise(F.lit("text"))
+        )
+        return F.struct(
+            kind.alias("kind"),
+            F.when(named, html.tag_name(token)).otherwise(F.lit("")).alias("name"),
+            F.when(named, F.lit("")).otherwise(token).alias("text"),
+        )
+
+    def step(depth: Column, item: Column) -> Column:
+        counted = item["name"].isin(*fixed.SKIP_TAGS)
+        return (
+            F.when(counted & (item["kind"] == "open"), depth + 1)
+            .when(counted & (item["kind"] == "close"), F.greatest(depth - 1, F.lit(0)))
+            .otherwise(depth)
+        )
+
+    def with_depths(items: Column) -> Column:
+        depths = running(items, F.lit(0), step, lambda depth: depth, "int")
+        return F.zip_with(items, depths, lambda item, depth: item.withField("skip_depth", depth))
+
+    events = pages.select(key, F.posexplode(let(F.transform(found, event), with_depths)))
+    return events.where("col.kind is not null").select(key, "pos", "col.kind", "col.name", "col.text", "col.skip_depth")

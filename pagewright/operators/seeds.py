@@ -12,6 +12,11 @@ from pagewright.schemas import CrawlParams
 SALTS = 32
 
 
+def canonical_sites(sites: DataFrame) -> DataFrame:
+    """(site_id, start_url) with canonical start URLs; sites whose start URL is invalid are left out."""
+    return sites.select("site_id", canonicalize_url("start_url").alias("start_url")).where("start_url <> ''")
+
+
 def canonical_seeds(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     """Seeds (site_id, raw_url, ...) with ``url`` (canonical, seen from the site's start) and
     ``start_host``. ``sites`` is (site_id, start_url)."""
@@ -95,6 +100,8 @@ def first_per_site(frame: DataFrame, limit: int, *order: Column | str) -> DataFr
     return ranked.where(F.col("rn") <= limit)
 
 
-def page_budget(entries: DataFrame, max_pages: int) -> DataFrame:
-    """The first ``max_pages`` URLs of every site in URL order."""
+def page_budget(entries: DataFrame, max_pages: int | None) -> DataFrame:
+    """The first ``max_pages`` URLs of every site in URL order; all without a budget."""
+    if max_pages is None:
+        return entries
     return first_per_site(entries, max_pages, "url").drop("rn")

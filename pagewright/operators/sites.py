@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import file_extension, site_filename
@@ -13,8 +13,8 @@ from pagewright.operators import render
 from pagewright.operators.render import DEFAULT_STYLE, Style
 from pagewright.schemas import CrawlParams
 
-# Longest site dump that is put together as one string; longer ones stay chunks.
-MAX_ASSEMBLED_CHARS = 64 * 1024 * 1024
+# Longest site dump that is put together as one string; a row cannot hold much more. Longer ones stay chunks.
+MAX_ASSEMBLED_CHARS = 512 * 1024 * 1024
 
 
 def site_counts(sites: DataFrame, sitemap: DataFrame, pages: DataFrame) -> DataFrame:
@@ -203,18 +203,17 @@ def chunk_sizes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("site_id").agg(F.sum(F.length("chunk") + 1).alias("chars"))
 
 
-def assemble(chunks: DataFrame, max_chars: int = MAX_ASSEMBLED_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(site_id, content) of the sites up to ``max_chars``, and the chunks of all larger sites.
+def assemble(chunks: DataFrame, max_chars: int = MAX_ASSEMBLED_CHARS) -> DataFrame:
+    """(site_id, content) of all sites. Fails if a dump is longer than ``max_chars``: use ``write_dump`` then.
 
-    The sizes are summed before anything is brought together, so no site above the bound is ever
-    collected into one row.
+    The sizes are summed before anything is brought together, so the failure comes before a row grows.
     """
     sized = chunks.join(chunk_sizes(chunks), "site_id")
-    small = sized.where(F.col("chars") <= max_chars).groupBy("site_id")
-    ordered = F.array_sort(F.collect_list(F.struct("section", "position", "chunk")))
+    message = F.concat(F.lit("dump too long for one string, write its chunks: "), F.col("site_id"))
+    checked = F.when(F.col("chars") <= max_chars, F.col("chunk")).otherwise(F.raise_error(message).cast("string"))
+    ordered = F.array_sort(F.collect_list(F.struct("section", "position", checked.alias("chunk"))))
     lines = F.array_join(F.transform(ordered, lambda c: c["chunk"]), "\n")
-    content = small.agg(F.concat(lines, F.lit("\n")).alias("content"))
-    return content, sized.where(F.col("chars") > max_chars).drop("chars")
+    return sized.groupBy("site_id").agg(F.concat(lines, F.lit("\n")).alias("content"))
 
 
 def collect_site(
@@ -237,10 +236,17 @@ def collect_site(
 def write_dump(chunks: DataFrame, sites: DataFrame, path: str, fmt: str) -> None:
     """One folder per site, named like its dump; its text files in name order are the dump.
 
-    Chunks are range-partitioned in dump order, so a large site is written by many tasks.
+    Chunks are range-partitioned in dump order, so a large site is written by many tasks. Of sites whose
+    dumps would have the same name, each but the first in the order of site_id gets its number in the name.
     """
     name = site_filename(url_host(F.col("start_url")), F.col("finished_at"), fmt)
-    named = chunks.join(sites.select("site_id", name.alias("dump")), "site_id")
+    names = sites.select("site_id", name.alias("name"))
+    twins = Window.partitionBy("name").orderBy("site_id")
+    number = F.row_number().over(twins)
+    extension = F.lit("." + file_extension(fmt))
+    unique = F.concat(F.expr(f"left(name, length(name) - {len(file_extension(fmt)) + 1})"), F.lit("-"), number, extension)
+    names = names.select("site_id", F.when(number == 1, F.col("name")).otherwise(unique).alias("dump"))
+    named = chunks.join(names, "site_id")
     ordered = named.repartitionByRange("dump", "section", "position").sortWithinPartitions(
         "dump", "section", "position"
     )

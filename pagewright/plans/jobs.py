@@ -61,7 +61,8 @@ def discover(
     robots: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Link discovery from the fetched pages themselves: (discovered, skipped)."""
-    linked = with_canonical_url(with_links(fetched)).where("canonical_url <> ''")
+    answered = fetched.where(extraction_reason().isNull())
+    linked = with_canonical_url(with_links(answered)).where("canonical_url <> ''")
     index = one_per_url(fetched.drop("html"), order)
     edges = link_edges(linked.join(index.select(order), order, "left_semi"), "canonical_url")
     return crawl.bfs_discover(sites, edges, index, params, robots)
@@ -79,15 +80,18 @@ def site_run(
     api_candidates: DataFrame | None = None,
     min_text_chars: int = fixed.MIN_TEXT_CHARS,
     extracted_at: Column | None = None,
+    lazy_pages: bool = False,
 ) -> SiteRun:
     """Everything after discovery: merge seeds, budget, robots, extraction, counts.
 
     ``sites`` is (site_id, start_url), ``entries`` (site_id, url, depth) from a sitemap or from link
     discovery, ``explicit`` (site_id, raw_url) further seeds, ``fetched`` the page table with a unique
     ``order`` column. Only URLs move until the pages to visit are known; then the page texts are
-    joined by that column.
+    joined by that column. Start URLs are canonicalized first; a site without a valid one is only a skip.
+    With ``lazy_pages`` the texts are extracted when they are asked for.
     """
-    stamp = extracted_at if extracted_at is not None else utc_now_iso()
+    stamp = extracted_at if extracted_at is not None else _now(sites)
+    given, sites = sites, seeds.canonical_sites(sites)
     starts = sites.select("site_id", F.col("start_url").alias("raw_url"))
     asked = seeds.canonical_seeds(starts.unionByName(explicit.select("site_id", "raw_url")), sites)
     judged = asked.withColumn("reason", seeds.seed_reason(F.col("url"), F.col("start_host"), params))
@@ -110,16 +114,28 @@ def site_run(
     located = materialize(
         located.select("site_id", "url", "depth", "allowed", order, reason.alias("reason"))
     )
-    # Texts are extracted next to the scan, so the join moves texts and not HTML.
-    texts = extract.build_page_docs(fetched, min_text_chars, api_candidates, stamp).drop("url")
+    # Only pages that are visited are extracted: the ids of the others do not pass the semi-join.
     usable = located.where("reason is null").select("site_id", "url", order)
-    pages = materialize(usable.join(texts, order).drop(order))
+    visited = fetched.join(materialize(usable.select(order).distinct()), order, "left_semi")
+    texts = extract.build_page_docs(visited, min_text_chars, api_candidates, stamp).drop("url")
+    pages = usable.join(texts, order).drop(order)
+    if not lazy_pages:
+        pages = materialize(pages)
+    finished = stamp if extracted_at is not None else _now(sites)
     skipped = seed_skips.unionByName(located.where("reason is not null").select("site_id", "url", "reason"))
     if discovery_skips is not None:
         skipped = discovery_skips.select("site_id", "url", "reason").unionByName(skipped)
     sitemap = located.where("allowed").select("site_id", "url", "depth")
-    timed = sites.select("site_id", "start_url", stamp.alias("started_at"), stamp.alias("finished_at"))
-    return SiteRun(materialize(site_counts(timed, sitemap, pages)), sitemap, pages, skipped)
+    bad = given.join(sites, "site_id", "left_anti")
+    bad = bad.select("site_id", F.col("start_url").alias("url"), F.lit(fixed.BAD_START).alias("reason"))
+    skipped = skipped.unionByName(bad)
+    timed = sites.select("site_id", "start_url", stamp.alias("started_at"), finished.alias("finished_at"))
+    return SiteRun(materialize(site_counts(timed, sitemap, usable)), sitemap, pages, skipped)
+
+
+def _now(frame: DataFrame) -> Column:
+    """The time of this call as a literal, so that later steps do not move it."""
+    return F.lit(frame.sparkSession.range(1).select(utc_now_iso().alias("now")).first()["now"])
 
 
 def fetch_join(visit: DataFrame, index: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ SITEMAP_XML = (
 
 @dataclass(frozen=True)
 class CrawlParams:
-    """Options of a site run, the same for every site of the run."""
+    """Options of a site run, the same for every site of the run. Without ``max_pages`` nothing is cut."""
 
-    max_pages: int = fixed.DEFAULT_MAX_PAGES
+    max_pages: int | None = fixed.DEFAULT_MAX_PAGES
     delay: float = 1.0
     jitter: float = 0.3
     concurrency: int = 2
@@ -47,9 +47,9 @@ class CrawlParams:
     override_hard_cap: bool = False
 
     def __post_init__(self) -> None:
-        if self.max_pages <= 0:
+        if self.max_pages is not None and self.max_pages <= 0:
             raise ValueError("max_pages must be positive")
         if self.concurrency <= 0:
             raise ValueError("concurrency must be positive")
-        if self.max_pages > fixed.HARD_MAX_PAGES and not self.override_hard_cap:
+        if (self.max_pages is None or self.max_pages > fixed.HARD_MAX_PAGES) and not self.override_hard_cap:
             raise ValueError(f"max_pages above {fixed.HARD_MAX_PAGES} needs override_hard_cap")

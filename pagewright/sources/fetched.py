@@ -27,15 +27,6 @@ def from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is read by fewer tasks than there are cores, such as one small file.
-
-    Tables with enough files or row groups come back unchanged, so large ones are never shuffled.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
-
-
 def with_canonical_url(frame: DataFrame, url: str = "url") -> DataFrame:
     """Add ``canonical_url``. Write it once into the stored table: lookups then prune by it."""
     return frame.withColumn("canonical_url", canonicalize_url(url))

@@ -36,6 +36,14 @@ def read_seed_lines(documents: DataFrame) -> DataFrame:
     return read_url_list(documents, comments=False)
 
 
+def seed_rows(sites: DataFrame, flags: DataFrame) -> DataFrame:
+    """(site_id, seq, raw_url) of many sites: the start URL is number 0, given URLs (site_id, seq from 0, url)
+    follow from 1."""
+    starts = sites.select("site_id", F.lit(0).alias("seq"), F.col("start_url").alias("raw_url"))
+    given = flags.select("site_id", (F.col("seq") + 1).cast("int").alias("seq"), F.col("url").alias("raw_url"))
+    return starts.unionByName(given)
+
+
 def seed_literals(spark: SparkSession, site_id: str, start_url: str, urls: Sequence[str] = ()) -> DataFrame:
     """(site_id, seq, url): the start URL, then the given ones."""
     rows = [(site_id, seq, url) for seq, url in enumerate([start_url, *urls])]
@@ -50,14 +58,18 @@ def is_xml(body: Column) -> Column:
     return strip(_without_bom(body)).startswith("<")
 
 
+#: A document type with an entity declaration, before the root element; comments and instructions may precede.
+DECLARES_ENTITIES = r"(?s)\A\s*+(?:<\?.*?\?>\s*+|<!--.*?-->\s*+)*+<!DOCTYPE[^>\[]*+\[[^\]]*?<!ENTITY"
+
+
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Documents with ``urls``, ``children`` and ``unreadable`` instead of their body.
 
     Other columns are kept. XML gives page URLs and child sitemaps, anything else is a text list.
-    Malformed XML, and XML with a document type declaration, gives nothing and is unreadable.
+    Malformed XML, and XML that declares entities of its own, gives nothing and is unreadable.
     """
     text = _without_bom(F.col("body"))
-    safe = F.when(is_xml(F.col("body")) & ~text.rlike(r"(?i)<!(?:DOCTYPE|ENTITY)"), strip(text))
+    safe = F.when(is_xml(F.col("body")) & ~text.rlike(DECLARES_ENTITIES), strip(text))
     options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
     parsed = documents.withColumn("xml", F.from_xml(safe, schemas.SITEMAP_XML, options))
     nothing = F.array().cast("array<string>")

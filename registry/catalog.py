@@ -12,7 +12,7 @@ from pagewright.functions import entities, fixed, html, text, urls
 from pagewright.operators import api, crawl, extract, links, render, robots, seeds, sites
 from pagewright.plans import jobs
 from pagewright.schemas import CrawlParams
-
+from pagewright.storage import shared_path
 from pagewright.sources import fetched as fetched_source
 from pagewright.sources import robots as robots_source
 from pagewright.sources import sitemaps
@@ -56,7 +56,14 @@ def joined(items, separator: str = ",") -> F.Column:
     "length(html) AS html_chars FROM pages",
 )
 def scan_fetched(spark, sf):
-    return T.fetched(spark, sf).select(
+    """The adapter writes fetched rows, the scan reads them with the columns of its own schema only."""
+    path = f"{shared_path(spark)}/fetched"
+    T.fetched(spark, sf).write.parquet(path)
+    ids = T.pages(spark, sf).select("page_id", "url")
+    scanned = fetched_source.scan_fetched(spark, path).groupBy("url", "fetched_url", "status", "content_type").agg(
+        F.first("html").alias("html")
+    )
+    return scanned.join(ids, "url").select(
         "page_id",
         F.col("url").alias("requested_url"),
         "fetched_url",
@@ -115,11 +122,8 @@ def read_seed_lines(spark, sf):
     UNION ALL SELECT site_id, (page_id + 1)::INT, url FROM base""",
 )
 def seed_literals(spark, sf):
-    starts = T.sites(spark, sf).select("site_id", F.lit(0).alias("seq"), F.col("start_url").alias("raw_url"))
-    flags = T.addresses(spark, sf).select(
-        "site_id", (F.col("page_id") + 1).cast("int").alias("seq"), F.col("url").alias("raw_url")
-    )
-    return starts.unionByName(flags)
+    flags = T.addresses(spark, sf).select("site_id", F.col("page_id").alias("seq"), "url")
+    return sitemaps.seed_rows(T.sites(spark, sf), flags)
 
 
 SITEMAP_URLS = f"""WITH {S.LINKS}, listed AS (
@@ -412,11 +416,11 @@ def filter_external_host(spark, sf):
 
 @query(
     "filter_non_html",
-    "SELECT page_id, url, CASE WHEN page_id % 13 = 0 THEN 'non-html-content-type: application/pdf' END AS reason "
-    "FROM pages WHERE page_id % 11 <> 0",
+    "SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 'fetch-error: status 404' WHEN page_id % 13 = 0 THEN 'non-html-content-type: application/pdf' END AS reason "
+    "FROM pages",
 )
 def filter_non_html(spark, sf):
-    judged = T.outcomes(spark, sf).where("status < 400")
+    judged = T.outcomes(spark, sf)
     return judged.select("page_id", "url", jobs.extraction_reason().alias("reason"))
 
 
@@ -464,14 +468,16 @@ def link_edges(spark, sf):
     return links.link_edges(linked, "canonical_url")
 
 
-REACHED = f"""WITH RECURSIVE {S.EDGES}, reached AS (
+# The recursion ends by itself: a row is a page at its first depth, and USING KEY keeps one row per page.
+REACHED = f"""WITH RECURSIVE {S.EDGES}, reached(site_id, url, depth) USING KEY (site_id, url) AS (
   SELECT site_id, start_url AS url, 0 AS depth FROM sites
   UNION
-  SELECT r.site_id, e.dst, r.depth + 1 FROM reached r JOIN edges e ON e.src = r.url
-  WHERE r.depth < 24
+  SELECT r.site_id, e.dst, min(r.depth) + 1 FROM reached r JOIN edges e ON e.src = r.url
+  LEFT JOIN recurring.reached k ON k.site_id = r.site_id AND k.url = e.dst
+  WHERE k.url IS NULL GROUP BY r.site_id, e.dst
 )"""
 
-OPEN = CrawlParams(max_pages=500, include_external=True, respect_robots=False)
+OPEN = CrawlParams(max_pages=None, override_hard_cap=True, include_external=True, respect_robots=False)
 
 
 @query(
@@ -484,7 +490,7 @@ def bfs_discover(spark, sf):
     return found.select("site_id", "url", "depth")
 
 
-CLOSED = CrawlParams(max_pages=500, respect_robots=True)
+CLOSED = CrawlParams(max_pages=None, override_hard_cap=True, respect_robots=True)
 VERDICT = f"""CASE WHEN {S.host('url')} <> site_id THEN 'external-host'
   WHEN {IS_BINARY_SQL} THEN 'binary-extension'
   WHEN NOT ({S.ALLOWED}) THEN 'robots-disallow'
@@ -910,7 +916,7 @@ counts AS (
 )"""
 
 
-def run(spark, sf) -> jobs.SiteRun:
+def run(spark, sf, lazy_pages: bool = False) -> jobs.SiteRun:
     files = T.robots_files(spark, sf)
     by_host = robots.robots_by_host(files, robots_source.read_robots(files), "pagewright")
     nothing = T.sites(spark, sf).select("site_id", F.col("start_url").alias("raw_url")).where(F.lit(False))
@@ -923,6 +929,7 @@ def run(spark, sf) -> jobs.SiteRun:
         "page_id",
         robots=by_host,
         extracted_at=stamp(),
+        lazy_pages=lazy_pages,
     )
 
 
@@ -931,7 +938,7 @@ def run(spark, sf) -> jobs.SiteRun:
     f"WITH {RUN_SQL} SELECT site_id, start_url, discovered_urls_count, visited_urls_count FROM counts",
 )
 def site_counts(spark, sf):
-    return run(spark, sf).sites.select("site_id", "start_url", "discovered_urls_count", "visited_urls_count")
+    return run(spark, sf, lazy_pages=True).sites.select("site_id", "start_url", "discovered_urls_count", "visited_urls_count")
 
 
 @query(
@@ -1089,8 +1096,7 @@ def rendered(spark, sf, fmt):
 def site_dump(spark, sf, fmt):
     result = run(spark, sf)
     chunks = sites.site_chunks(fmt, result.sites, result.sitemap, result.pages, result.skipped, RUN)
-    small, large = sites.assemble(chunks)
-    return small
+    return sites.assemble(chunks)
 
 
 @query(
@@ -1146,13 +1152,9 @@ def render_site_xml(spark, sf):
 @query("write_dump")
 def write_dump(spark, sf):
     """Write the Markdown dumps of all sites and read back the size of each."""
-    import uuid
-
-    from pagewright.storage import checkpoint_dir
-
     result = run(spark, sf)
     chunks = sites.site_chunks("md", result.sites, result.sitemap, result.pages, result.skipped, RUN)
-    path = f"{checkpoint_dir(spark)}/dumps/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     sites.write_dump(chunks, result.sites, path, "md")
     lines = spark.read.text(path)
     return lines.groupBy("dump").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value") + 1).alias("chars"))

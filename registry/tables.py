@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.urls import canonicalize_url, host_key, url_host
 from pagewright.operators.links import link_edges, with_links
-from pagewright.sources.fetched import from_pages, one_per_url, spread, with_canonical_url
+from pagewright.sources.fetched import from_pages, one_per_url, with_canonical_url
 
 STAMP = "2026-01-01T00:00:00Z"
 
@@ -25,12 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=None)
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 @functools.lru_cache(maxsize=None)
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 @functools.lru_cache(maxsize=None)
