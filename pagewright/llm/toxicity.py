@@ -27,6 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.sampling import bounded_sample
 from pagewright.storage import materialize
 
 # Our own word lists, lower-case, whole words.
@@ -155,9 +156,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: int = 5, training_rows:
     toxic = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     toxic = toxic.where("toxic = other AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("double").alias("label"))
     texts = known.where(remainder(F.col("doc_id"), held_out) != 0)
-    joined = texts.join(toxic, "doc_id").withColumn("turn", F.xxhash64("doc_id"))
     # A bounded sample is enough for trees of this size; everything else sees all rows.
-    sample = joined.orderBy("turn", "doc_id").limit(training_rows)
+    sample = bounded_sample(materialize(texts.join(toxic, "doc_id")), training_rows, "doc_id")
     sample = materialize(sample.select("label", "turn", array_to_vector("features").alias("vector")).repartition(4, "turn"))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     out = known.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), held_out) == 0, F.lit(False)))
