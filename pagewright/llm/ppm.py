@@ -38,7 +38,7 @@ SYMBOLS = 256
 MOST_GRAMS = 1_000_000
 HEAD_WORDS = 200_000
 END_WORD = 0  # stands for the end token among word hashes
-PART = 2 << 20  # bytes handled at a time
+PART = 4 << 20  # characters handled at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,11 +65,12 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return made[keep], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def _parts(rows: list, size) -> Iterator[list]:
+def _parts(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
+    """The words of each text, for about ``PART`` characters of texts at a time."""
     part, total = [], 0
-    for row in rows:
-        part.append(row)
-        total += size(row)
+    for text in texts:
+        part.append(words_of(text))
+        total += len(text or "")
         if total >= PART:
             yield part
             part, total = [], 0
@@ -83,7 +84,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, words = [], []
-            for part in _parts([words_of(t) for t in batch["text"].to_pylist()], len):
+            for part in _parts(batch["text"].to_pylist()):
                 found, counts = np.unique(grams_of([b" ".join(w) for w in part])[0], return_counts=True)
                 grams.append((found.view(np.int64), counts))
                 every = [w for words in part for w in words]
@@ -191,8 +192,10 @@ class Lookup:
             todo, self.probes = todo[~got], self.probes + 1
 
     def _slots(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        # The added number moves every key from probe to probe, also 0, which no factor moves.
         factor = np.uint64((0x9E3779B97F4A7C15 + 2 * probe * 0x51ED270B7A3F4C15) & 0xFFFFFFFFFFFFFFFF | 1)
-        return ((keys * factor) >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = (keys + np.uint64(probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * factor
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are in the table."""
@@ -271,7 +274,7 @@ def score(docs: DataFrame, by: int = 10) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for part in _parts([words_of(t) for t in batch["text"].to_pylist()], len):
+            for part in _parts(batch["text"].to_pylist()):
                 grams, begins = grams_of([b" ".join(w) for w in part])
                 logs, found = known.get(grams)
                 rare, back = np.unique(grams[~found], return_inverse=True)

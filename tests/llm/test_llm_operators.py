@@ -194,6 +194,15 @@ def test_pruned_trie_stays_a_distribution(spark):
             assert (10 ** model.log10(whole)).sum() == pytest.approx(1)
 
 
+def test_lookup_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.append(rng.integers(0, 2**63, 300_000), 0)).astype(np.uint64)
+    made = ppm.Lookup(keys, np.arange(len(keys), dtype=float))
+    values, found = made.get(keys)
+    assert found.all() and (values == np.arange(len(keys))).all()
+    assert not made.get(rng.integers(2**63, 2**64 - 1, 1000, dtype=np.uint64))[1].any()
+
+
 # 5 line dedup
 
 
