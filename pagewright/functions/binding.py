@@ -38,11 +38,12 @@ def running(
             part,
             none,
             lambda now, item: let(step(now["state"], item), lambda s: extended(now["values"], s, value(s))),
+            lambda end: end,
         )
 
     def by_blocks(whole: Column) -> Column:
-        first = F.sequence(F.lit(1), F.size(whole), F.lit(block))
-        parts = F.transform(first, lambda i: F.slice(whole, i, block))
+        blocks = F.array_repeat(F.lit(0), F.ceil(F.size(whole) / block).cast("int"))
+        parts = F.transform(blocks, lambda _, i: F.slice(whole, i * block + 1, block))
         none = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("values"))
         walked = F.aggregate(
             parts,
@@ -50,8 +51,9 @@ def running(
             lambda now, part: let(
                 walk(now["state"], part), lambda w: extended(now["values"], w["state"], w["values"])
             ),
+            lambda end: end["values"],
         )
-        return F.when(F.size(whole) > 0, F.flatten(walked["values"])).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.when(F.size(whole) > 0, F.flatten(walked)).otherwise(F.array().cast(f"array<{kind}>"))
 
     return let(items, by_blocks)
 

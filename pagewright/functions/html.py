@@ -90,20 +90,20 @@ def _drop_templates(markup: Column) -> Column:
     )
     is_skip = lambda piece: tag_name(piece).isin(*fixed.SKIP_TAGS)
 
-    def step(depth: Column, piece: Column) -> Column:
-        return (
+    def step(state: Column, piece: Column) -> Column:
+        depth, kept = state["depth"], state["kept"]
+        return F.struct(
             F.when(~is_skip(piece) | is_empty_tag(piece), depth)
             .when(piece.startswith("</"), F.greatest(depth - 1, F.lit(0)))
             .otherwise(depth + 1)
+            .alias("depth"),
+            F.when(is_skip(piece) | (depth > 0), kept)
+            .otherwise(F.concat(kept, F.lit(" "), piece))
+            .alias("kept"),
         )
 
-    def shown(found: Column) -> Column:
-        depths = running(found, F.lit(0), step, lambda depth: depth, "int")
-        placed = F.zip_with(found, depths, lambda piece, depth: F.struct(piece.alias("piece"), depth.alias("depth")))
-        outside = F.filter(placed, lambda p: ~is_skip(p["piece"]) & (p["depth"] == 0))
-        return F.concat(F.lit(" "), F.array_join(F.transform(outside, lambda p: p["piece"]), " "))
-
-    visible = let(pieces, shown)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    visible = F.aggregate(pieces, start, step, lambda state: state["kept"])
     return F.when(markup.rlike(r"(?i)<template[\s/>]"), visible).otherwise(markup)
 
 
