@@ -94,7 +94,11 @@ def site_filename(host: Column, finished_at: Column, fmt: str) -> Column:
     )
 
 
+def utc_iso(time: Column) -> Column:
+    """A timestamp in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def utc_now_iso() -> Column:
     """Time of the run in UTC, to the second, the same in every row of a query."""
-    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
-    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return utc_iso(F.current_timestamp())

@@ -31,6 +31,11 @@ def site_counts(sites: DataFrame, sitemap: DataFrame, pages: DataFrame) -> DataF
     )
 
 
+def skip_reason_counts(skipped: DataFrame) -> DataFrame:
+    """(site_id, reason, n): how many URLs each site left out for each reason."""
+    return skipped.groupBy("site_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_struct(pages: DataFrame) -> Column:
     names = [*render.TEXT_FIELDS, "extraction_attempts", "warnings"]
     return F.struct(*[pages[name].alias(name) for name in names])

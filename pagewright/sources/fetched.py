@@ -45,6 +45,18 @@ def one_per_url(fetched: DataFrame, order: str) -> DataFrame:
     )
 
 
+def still_to_write(fetched: DataFrame, written: DataFrame, order: str) -> DataFrame:
+    """The newest row of each ``url`` that an earlier dump (url) does not have.
+
+    Give rows without their HTML and join that by ``order`` afterwards: the aggregate combines the copies of
+    a URL before they are shuffled, and texts stay where they are.
+    """
+    others = [c for c in fetched.columns if c not in ("url", order)]
+    newest = fetched.groupBy("url").agg(F.max(F.struct(order, *others)).alias("newest"))
+    left = newest.join(written.select("url").distinct(), "url", "left_anti")
+    return left.select("url", *[F.col("newest")[c].alias(c) for c in (order, *others)])
+
+
 def page_lookup(fetched: DataFrame, url: str) -> DataFrame:
     """Rows of one page. Raises if the argument is no URL."""
     spark = fetched.sparkSession

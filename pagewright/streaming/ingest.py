@@ -1,7 +1,7 @@
 """The page documents of a stream of fetched pages.
 
-Extraction is a projection, so the batch plan runs unchanged on a streaming DataFrame: no state, no
-watermark.
+Extraction is a projection, so the batch plan runs unchanged on a streaming DataFrame. Repeats of a page are
+dropped by canonical URL within a watermark, which also bounds the state: rows later than that are dropped.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions import fixed
 from pagewright.plans.jobs import page_docs
+from pagewright.sources.fetched import with_canonical_url
 
 
 def stream_page_docs(fetched: DataFrame, min_text_chars: int = fixed.MIN_TEXT_CHARS) -> DataFrame:
@@ -19,6 +20,12 @@ def stream_page_docs(fetched: DataFrame, min_text_chars: int = fixed.MIN_TEXT_CH
     return docs
 
 
+def without_repeats(fetched: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
+    """The first row of each canonical URL within ``delay`` of the event time column ``time``."""
+    known = with_canonical_url(fetched.withWatermark(time, delay)).where("canonical_url <> ''")
+    return known.dropDuplicatesWithinWatermark(["canonical_url"]).drop("canonical_url")
+
+
 def write_page_docs(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append the documents to a Parquet table, exactly once."""
     writer = docs.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -370,9 +370,19 @@ def dump_filename(spark, sf):
     )
 
 
-@query("utc_now_iso")
+@query(
+    "utc_now_iso",
+    "SELECT page_id, strftime(TIMESTAMP '2024-02-28 23:59:58' + to_seconds(page_id * 61), '%Y-%m-%dT%H:%M:%SZ') AS extracted_at, "
+    "true AS now_is_between FROM pages",
+)
 def utc_now_iso(spark, sf):
-    return T.pages(spark, sf).select("page_id", text.utc_now_iso().alias("extracted_at"))
+    """The format on times that depend on the page, and whether the time of the run lies between two clocks."""
+    before = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
+    start = F.unix_timestamp(F.lit("2024-02-28 23:59:58"))
+    given = F.timestamp_seconds(start + F.col("page_id") * 61)
+    now = F.to_timestamp(text.utc_now_iso(), "yyyy-MM-dd'T'HH:mm:ssX")
+    between = (F.lit(before) - F.expr("INTERVAL 1 SECOND") <= now) & (now <= F.current_timestamp())
+    return T.pages(spark, sf).select("page_id", text.utc_iso(given).alias("extracted_at"), between.alias("now_is_between"))
 
 
 # --- filters ---------------------------------------------------------------------------------------
@@ -515,12 +525,35 @@ VERDICT = f"""CASE WHEN {S.host('url')} <> site_id THEN 'external-host'
     ) SELECT site_id, url, reason FROM reached WHERE reason IS NOT NULL""",
 )
 def bfs_skips(spark, sf):
+    return _skips(spark, sf).select("site_id", "url", "reason")
+
+
+@query("skip_reason_counts", f"SELECT site_id, reason, count(*) AS n FROM ({ORACLES['bfs_skips']}) GROUP BY ALL")
+def skip_reason_counts(spark, sf):
+    return sites.skip_reason_counts(_skips(spark, sf))
+
+
+@query(
+    "cache_resume",
+    # Newer rows have higher numbers; every seventh page was written in an earlier dump.
+    f"""WITH {S.BASE}, newest AS (SELECT canon, max(page_id) AS page_id FROM base GROUP BY canon)
+    SELECT page_id, canon AS url FROM newest
+    WHERE canon NOT IN (SELECT canon FROM base WHERE page_id % 7 = 0)""",
+)
+def cache_resume(spark, sf):
+    pages = fetched_source.with_canonical_url(T.fetched(spark, sf)).drop("html", "url")
+    pages = pages.withColumnRenamed("canonical_url", "url").where("url <> ''")
+    written = pages.where("page_id % 7 = 0").select("url")
+    return fetched_source.still_to_write(pages, written, "page_id").select("page_id", "url")
+
+
+def _skips(spark, sf):
     files = T.robots_files(spark, sf)
     by_host = robots.robots_by_host(files, robots_source.read_robots(files), "pagewright")
     _, skips = crawl.bfs_discover(
         T.sites(spark, sf), T.edges(spark, sf), T.page_index(spark, sf, failing=True), CLOSED, by_host
     )
-    return skips.select("site_id", "url", "reason")
+    return skips
 
 
 @query(
@@ -1149,7 +1182,12 @@ def render_site_xml(spark, sf):
     return site_dump(spark, sf, "xml")
 
 
-@query("write_dump")
+@query(
+    "write_dump",
+    f"""SELECT 'site_' || trim(regexp_replace(lower({S.host('start_url')}), '[^a-z0-9]+', '-', 'g'), '-') || '_' || replace(replace('{T.STAMP}', '-', ''), ':', '') || '.md' AS dump,
+      length(content) - length(replace(content, chr(10), '')) AS lines, length(content) AS chars
+    FROM ({ORACLES['render_site_md']}) JOIN (WITH {S.SITES} SELECT site_id, start_url FROM sites) USING (site_id)""",
+)
 def write_dump(spark, sf):
     """Write the Markdown dumps of all sites and read back the size of each."""
     result = run(spark, sf)

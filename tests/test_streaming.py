@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.plans.jobs import page_docs
+from pagewright.streaming import ingest
 from pagewright.streaming.ingest import stream_page_docs, write_page_docs
 
 SCHEMA = "url string, fetched_url string, status int, content_type string, html string"
@@ -20,3 +21,24 @@ def test_stream_gives_the_batch_documents(spark, tmp_path):
     want = page_docs(frame)[0].drop("extracted_at")
     assert got.count() == 8
     assert got.orderBy("url").collect() == want.orderBy("url").collect()
+
+
+def test_repeats_and_late_rows(spark, tmp_path):
+    """Each round is a batch; a repeat within the delay is dropped, and so is a row behind the watermark."""
+    schema = "url string, at timestamp"
+    query = None
+    rounds = [
+        [("https://h.e/a", "2024-01-01 10:00:00"), ("https://H.e:443/a#x", "2024-01-01 10:10:00"), ("mailto:x", "2024-01-01 10:00:00")],
+        [("https://h.e/a/", "2024-01-01 10:20:00"), ("https://h.e/b", "2024-01-01 13:00:00")],
+        [("https://h.e/late", "2024-01-01 08:00:00"), ("https://h.e/a", "2024-01-01 13:10:00")],
+    ]
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    found = ingest.without_repeats(stream, "at")
+    for number, rows in enumerate(rounds):
+        spark.createDataFrame(rows, "url string, at string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120), number
+    got = [r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    # The last page comes when the first one has been forgotten.
+    assert len(got) == 3 and "https://h.e/b" in got and got.count("https://h.e/a") >= 1
+    assert not {"https://h.e/late", "https://h.e/a/", "mailto:x"} & set(got)
