@@ -26,12 +26,12 @@ def test_stream_gives_the_batch_documents(spark, tmp_path):
 def test_repeats_and_late_rows(spark, tmp_path):
     """Each round is a batch; a repeat within the delay is dropped, and so is a row behind the watermark."""
     schema = "url string, at timestamp"
-    query = None
     rounds = [
         [("https://h.e/a", "2024-01-01 10:00:00"), ("https://H.e:443/a#x", "2024-01-01 10:10:00"), ("mailto:x", "2024-01-01 10:00:00")],
         [("https://h.e/a/", "2024-01-01 10:20:00"), ("https://h.e/b", "2024-01-01 13:00:00")],
         [("https://h.e/late", "2024-01-01 08:00:00"), ("https://h.e/a", "2024-01-01 13:10:00")],
     ]
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     found = ingest.without_repeats(stream, "at")
     for number, rows in enumerate(rounds):
