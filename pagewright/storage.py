@@ -27,6 +27,12 @@ def shared_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/pagewright/{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written folder when the driver ends; results may read it until then."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared folder once and read it back: short lineage, exact statistics.
 
@@ -35,6 +41,7 @@ def materialize(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = shared_path(spark)
     frame.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -50,10 +57,11 @@ def materialize_by(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
     path = f"{checkpoint_dir(spark)}/pagewright/{name}"
     writer = frame.repartition(buckets, key).distinct().write.bucketBy(buckets, key).sortBy(key)
     writer.format("parquet").option("path", path).saveAsTable(name)
+    delete_at_exit(spark, path)
     return spark.table(name), name
 
 
 def forget(spark: SparkSession, *names: str) -> None:
-    """Remove bucketed tables from the session's catalog; their files stay."""
+    """Remove bucketed tables from the session's catalog; their files stay until the driver ends."""
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
