@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-from pagewright.llm import packing
 from pagewright.storage import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,4 +35,5 @@ def test_run(spark):
     pieces = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(pieces.columns)
     full = pieces.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
-    assert (full <= 2048).all() and (full == 2048).mean() > 0.8 and packing.END == 1
+    # Nearly all sequences are full where there is more than the windows that one task leaves open.
+    assert (full <= 2048).all() and len(full) <= 1.1 * full.sum() / 2048 + 2
