@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import entities, fixed, html, text, urls
+from pagewright.functions import fixed, text, urls
 from pagewright.operators import api, crawl, extract, links, render, robots, seeds, sites
 from pagewright.plans import jobs
 from pagewright.schemas import CrawlParams

@@ -2,7 +2,6 @@
 
 import math
 import os
-import sys
 
 import duckdb
 

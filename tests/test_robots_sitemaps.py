@@ -1,8 +1,6 @@
 import random
 import urllib.robotparser
 
-from pyspark.sql import functions as F
-
 from pagewright.operators import robots as operators
 from pagewright.sources import robots, sitemaps
 

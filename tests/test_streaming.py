@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from pagewright.plans.jobs import page_docs
 from pagewright.streaming import ingest
 from pagewright.streaming.ingest import stream_page_docs, write_page_docs

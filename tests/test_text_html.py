@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import entities, fixed, html, text
+from pagewright.functions import entities, html, text
 from pagewright.operators import extract, links
 
 
@@ -51,18 +51,18 @@ def test_text_of_random_pages_keeps_what_is_text(spark):
 
 
 def test_a_page_costs_what_its_size_is(spark):
-    """A megabyte with 40,000 links; four times a quarter of it may not cost much less."""
+    """Four times the links cost about four times as much: each doubling at most 2.3 times."""
 
     def seconds(links_of_page):
         page = "<html><nav><a href=/n>n</a></nav><main>" + "".join(f'<a href="/p{i}">t{i}</a>' for i in range(links_of_page)) + "</main>"
         frame = spark.createDataFrame([(page,)], "html string").select(F.size(html.segments("html")).alias("n"))
         begun = time.perf_counter()
-        assert frame.first()["n"] == 2 * links_of_page + 7 - 0 or frame.first()["n"] > 2 * links_of_page
+        assert frame.first()["n"] > 2 * links_of_page
         return time.perf_counter() - begun
 
     seconds(1000)
     small, large = min(seconds(20_000) for _ in range(2)), min(seconds(80_000) for _ in range(2))
-    assert large < 4 * 2.3 * small and large < 12
+    assert large < 2.3 * 2.3 * max(small, 0.5) and large < 12
 
 
 def test_an_unclosed_heading_ends_at_the_next_block(spark):
