@@ -9,9 +9,12 @@ from pagewright import schemas
 from pagewright.functions.urls import canonicalize_url
 
 
-def scan_fetched(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Fetched rows (url, fetched_url, status, content_type, html) from Parquet, ORC or JSON files."""
-    return spark.read.format(fmt).schema(schemas.FETCHED).load(path)
+def scan_fetched(spark: SparkSession, path: str, fmt: str = "parquet", others: str = "") -> DataFrame:
+    """Fetched rows (url, fetched_url, status, content_type, html) from Parquet, ORC or JSON files.
+
+    ``others`` is the schema of columns that the files have besides, such as a row key; they come first.
+    """
+    return spark.read.format(fmt).schema(f"{others}, {schemas.FETCHED}" if others else schemas.FETCHED).load(path)
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

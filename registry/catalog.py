@@ -56,14 +56,10 @@ def joined(items, separator: str = ",") -> F.Column:
     "length(html) AS html_chars FROM pages",
 )
 def scan_fetched(spark, sf):
-    """The adapter writes fetched rows, the scan reads them with the columns of its own schema only."""
+    """The adapter writes fetched rows, the scan reads them with the columns of its own schema and the row key."""
     path = f"{shared_path(spark)}/fetched"
     T.fetched(spark, sf).write.parquet(path)
-    ids = T.pages(spark, sf).select("page_id", "url")
-    scanned = fetched_source.scan_fetched(spark, path).groupBy("url", "fetched_url", "status", "content_type").agg(
-        F.first("html").alias("html")
-    )
-    return scanned.join(ids, "url").select(
+    return fetched_source.scan_fetched(spark, path, others="page_id long").select(
         "page_id",
         F.col("url").alias("requested_url"),
         "fetched_url",
