@@ -5,12 +5,14 @@ symbol) byte by byte from the ``ORDER`` bytes before. A context that has not see
 next shorter one: each distinct byte gives up half of one count to the escape. Bytes that the longer context
 has seen are excluded from the shorter one's counts. Below the empty context all bytes are equal.
 
-Training counts the (ORDER + 1)-grams of all training documents in one aggregate; shorter contexts are sums
-of longer ones. The trie goes to every task: at most ``MOST_GRAMS`` grams of each order, those seen most often
-(16 bytes each), which is its documented size limit. Scoring looks up whole arrays of grams at a time.
+All documents' (ORDER + 1)-grams are counted in one aggregate, with how often each occurs in training documents;
+shorter contexts are sums of longer ones. Spark tables, one for each order, hold all of them, and from order to
+order each distinct gram gets its log probability by a join with its own end, one byte shorter, of which there are 256
+grams at most. Nothing is left out, however many grams there are. The ``MOST_GRAMS`` most frequent grams go to every
+task with their log probabilities (16 bytes each), which leaves no hot gram for the join that brings those of all others.
 
 Besides, every text gets the score of smoothed word frequencies. The frequent words, ``HEAD_WORDS`` at most,
-go to every task, which leaves no hot word for the join that brings the counts of all others.
+go to every task in the same way.
 
 Defined results: a NULL text is empty; the empty text is its end symbol alone; rows that repeat are scored
 each; rows without doc_id are held out; without training documents bytes are equal and no word is known; an
@@ -25,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.storage import materialize
@@ -79,33 +82,75 @@ def _parts(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """kind ("gram" or "word"), key and n over all rows of ``docs``."""
+    """kind ("gram" or "word"), key, n in the rows of ``docs`` that train, and m in all rows; words of those that train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, words = [], []
-            for part in _parts(batch["text"].to_pylist()):
-                found, counts = np.unique(grams_of([b" ".join(w) for w in part])[0], return_counts=True)
-                grams.append((found.view(np.int64), counts))
-                every = [w for words in part for w in words]
-                found, counts = np.unique(word_hashes(every), return_counts=True)
-                words.append((found, counts))
-                words.append((np.array([END_WORD]), np.array([len(part)])))
-            for kind, lists in (("gram", grams), ("word", words)):
-                if lists:
-                    keys, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
-                    found, inverse = np.unique(keys, return_inverse=True)
-                    sums = np.bincount(inverse, weights=counts).astype(np.int64)
-                    columns = [pa.array([kind] * len(found)), pa.array(found), pa.array(sums)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
-
-    parts = docs.mapInArrow(run, "kind string, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            for trains in (True, False):
+                grams, words = [], []
+                for part in _parts(batch.filter(pc.equal(batch["trains"], trains))["text"].to_pylist()):
+                    found, counts = np.unique(grams_of([b" ".join(w) for w in part])[0], return_counts=True)
+                    grams.append((found.view(np.int64), counts))
+                    if trains:
+                        every = [w for words in part for w in words]
+                        found, counts = np.unique(word_hashes(every), return_counts=True)
+                        words.append((found, counts))
+                        words.append((np.array([END_WORD]), np.array([len(part)])))
+                for kind, lists in (("gram", grams), ("word", words)):
+                    if lists:
+                        keys, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
+                        found, inverse = np.unique(keys, return_inverse=True)
+                        sums = np.bincount(inverse, weights=counts).astype(np.int64)
+                        columns = [pa.array([kind] * len(found)), pa.array(found), pa.array(sums * trains), pa.array(sums)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "m"])
+
+    parts = docs.select("text", "trains").mapInArrow(run, "kind string, key long, n long, m long")
+    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def log_probabilities(grams: DataFrame) -> DataFrame:
+    """key, m and log10 of the probability of the last byte after those before, for all counted grams (key, n, m).
+
+    Grams with n = 0 were not seen in training. Order by order, ``whole`` is the logarithm for a byte that no
+    longer context has seen, and ``after`` the one for a byte that this context has escaped from.
+    """
+    orders = [grams]
+    for k in range(ORDER - 1, -1, -1):
+        end = F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")
+        orders.insert(0, materialize(orders[0].groupBy(end).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))))
+    below = None
+    n, total, distinct = (F.col(c).cast("double") for c in ("n", "total", "distinct"))
+    for k, rows in enumerate(orders):
+        context = Window.partitionBy(F.shiftright("key", 8))
+        sums = {"total": F.sum("n").over(context), "distinct": F.count_if(F.col("n") > 0).over(context)}
+        if below is None:
+            rows = rows.withColumns(sums)
+            after = -F.log10(F.greatest(F.lit(1), SYMBOLS - F.col("distinct")).cast("double"))
+            none = F.lit(-math.log10(SYMBOLS))
+        else:
+            short = below.select(F.col("key").alias("short"), *[F.col(c).alias(f"short_{c}") for c in ("n", "total", "distinct", "whole", "after")])
+            rows = rows.join(short, F.col("key").bitwiseAND((1 << (8 * k)) - 1) == F.col("short"))
+            # What is left of the next shorter context once this context's own bytes are excluded.
+            sums["used"] = F.sum(F.when(F.col("n") > 0, F.col("short_n")).otherwise(0)).over(context)
+            rows = rows.withColumns(sums)
+            room = F.greatest(F.lit(1), F.col("short_total") - F.col("used")).cast("double")
+            left = (F.col("short_distinct") - F.col("distinct")).cast("double")
+            # A context with nothing left to code escapes for sure.
+            escape = F.when(left > 0, F.log10(0.5 * left / room)).otherwise(F.lit(0.0)) + F.col("short_after")
+            after = F.when(F.col("short_n") > 0, F.log10((F.col("short_n") - 0.5) / room)).otherwise(escape)
+            none = F.col("short_whole")
+        rows = rows.withColumn("after", after)
+        whole = F.when(n > 0, F.log10((n - 0.5) / total)).when(total > 0, F.log10(0.5 * distinct / total) + F.col("after"))
+        below = rows.select("key", "n", "m", "total", "distinct", "after", whole.otherwise(none).alias("whole"))
+    return below.select("key", "m", F.col("whole").alias("log"))
 
 
 @dataclass
 class Trie:
-    """For each order k: its (k + 1)-grams in ascending order, with counts."""
+    """For each order k: its (k + 1)-grams in ascending order, with counts.
+
+    The model in one process, for small texts; ``score`` uses ``log_probabilities``, which needs no limit.
+    """
 
     grams: list[np.ndarray]
     counts: list[np.ndarray]
@@ -216,9 +261,9 @@ class Lookup:
         return values, found
 
 
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` rows reach."""
-    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows"))
+def _threshold(counts: DataFrame, most: int, n: str = "n") -> int:
+    """The smallest count ``n`` that at most ``most`` rows reach."""
+    sizes = counts.groupBy(F.least(n, F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows"))
     total = 0
     for row in sorted(sizes.collect(), reverse=True):
         total += row["rows"]
@@ -259,17 +304,19 @@ def score(docs: DataFrame, by: int = 10) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = materialize(_counts(docs.where(~held_out(F.col("doc_id"), by))))
+    counts = materialize(_counts(docs.withColumn("trains", ~held_out(F.col("doc_id"), by))))
     words = counts.where("kind = 'word'").select("key", "n")
-    trie = spark.sparkContext.broadcast(train(counts.where("kind = 'gram'").select("key", "n")))
+    grams = materialize(log_probabilities(counts.where("kind = 'gram'").select("key", "n", "m")))
+    often = F.col("m") >= _threshold(grams, MOST_GRAMS, "m")
+    top = grams.where(often).toArrow()
+    likely = spark.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["log"].to_numpy()))
     all_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = _threshold(words, HEAD_WORDS)
     head_rows = words.where(F.col("n") >= least).toArrow()
     head = spark.sparkContext.broadcast((head_rows["key"].to_numpy().view(np.uint64), head_rows["n"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trie.value.prepare()
-        known = Lookup(model.grams[ORDER], model.log10(model.grams[ORDER]))
+        known = Lookup(*likely.value)
         frequent = Lookup(head.value[0], head.value[1].astype(np.float64))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -277,8 +324,8 @@ def score(docs: DataFrame, by: int = 10) -> DataFrame:
             for part in _parts(batch["text"].to_pylist()):
                 grams, begins = grams_of([b" ".join(w) for w in part])
                 logs, found = known.get(grams)
-                rare, back = np.unique(grams[~found], return_inverse=True)
-                logs[~found] = model.log10(rare)[back]
+                others = np.concatenate([[0], np.cumsum(~found)])
+                ends = np.append(others[begins], others[-1]).astype(np.int32)
                 lengths = np.array([len(w) for w in part])
                 hashes = word_hashes([w for words in part for w in words]).view(np.uint64)
                 # The end token goes first in each row, so that no row is empty.
@@ -297,26 +344,32 @@ def score(docs: DataFrame, by: int = 10) -> DataFrame:
                     pa.array(hits),
                     pa.array(sums),
                     pa.array(np.add.reduceat(logs, begins)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[~found].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[~common].view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 done, row = done + len(part), row + len(part)
 
-    names = ["doc_id", "row", "n_tokens", "head_known", "head_sum", "score", "tail"]
-    schema = f"doc_id {kind}, row long, n_tokens long, head_known long, head_sum double, score double, tail array<long>"
+    names = ["doc_id", "row", "n_tokens", "head_known", "head_sum", "head_score", "rare", "tail"]
+    schema = (
+        f"doc_id {kind}, row long, n_tokens long, head_known long, head_sum double, head_score double, "
+        "rare array<long>, tail array<long>"
+    )
     rows = materialize(docs.mapInArrow(run, schema))
+    rare = rows.select("row", F.explode("rare").alias("key")).join(grams.where(~often), "key")
+    rare = rare.groupBy("row").agg(F.sum("log").alias("log"))
     tail = rows.select("row", F.explode("tail").alias("key")).join(words, "key", "left")
     tail = tail.groupBy("row").agg(
         F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("sum")
     )
     room = math.log10(all_words["n"] + 0.1 * (all_words["v"] + 1))
     zero = F.lit(0)
-    return rows.join(tail, "row", "left").select(
+    return rows.join(tail, "row", "left").join(rare, "row", "left").select(
         "doc_id",
         held_out(F.col("doc_id"), by).alias("held_out"),
         "n_tokens",
         (F.col("head_known") + F.coalesce("known", zero)).alias("n_known"),
         F.lit(all_words["n"]).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * room).alias("base_score"),
-        "score",
+        (F.col("head_score") + F.coalesce("log", F.lit(0.0))).alias("score"),
     )

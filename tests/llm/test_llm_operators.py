@@ -194,6 +194,29 @@ def test_pruned_trie_stays_a_distribution(spark):
             assert (10 ** model.log10(whole)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("most", [0, 2000])
+def test_scores_do_not_depend_on_what_goes_to_the_tasks(spark, monkeypatch, most):
+    docs = documents(spark)
+    want = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    monkeypatch.setattr(ppm, "MOST_GRAMS", most)
+    monkeypatch.setattr(ppm.train, "__defaults__", (most,))
+    assert {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()} == pytest.approx(want)
+
+
+def test_log_probabilities_equal_the_whole_trie(spark):
+    seen, _ = ppm.grams_of([b"abracadabra", b"abc", b"", b"a cad a bra"])
+    new, _ = ppm.grams_of([b"abrakadabra", b"zzzzzzzzz", b"cab"])
+    for training in (seen, seen[:0]):
+        n, m = Counter(training.tolist()), Counter([*training.tolist(), *new.tolist()])
+        rows = spark.createDataFrame([(k, n[k], m[k]) for k in m], "key long, n long, m long")
+        keys, counts = np.unique(training, return_counts=True)
+        counted = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist(), strict=True)), "key long, n long")
+        model = ppm.train(counted).prepare()
+        got = {r["key"]: r["log"] for r in ppm.log_probabilities(rows).collect()}
+        every = np.array(sorted(m), dtype=np.uint64)
+        assert got == pytest.approx(dict(zip(every.tolist(), model.log10(every).tolist(), strict=True)))
+
+
 def test_lookup_finds_all_keys_and_no_others():
     rng = np.random.default_rng(1)
     keys = np.unique(np.append(rng.integers(0, 2**63, 300_000), 0)).astype(np.uint64)
