@@ -2,9 +2,10 @@
 
 An archive starts with a skippable frame that holds a Zstandard dictionary; every record after it is one
 frame compressed with that dictionary, so a reader can jump to any record and still gets the compression of
-shared markup. The dictionary is trained on a bounded, documented sample of the records to be archived
-(``SAMPLE_RECORDS`` with the smallest hashes of id and url, the first ``SAMPLE_BYTES`` of each); everything else
-sees all records. Payloads that occur again are stored as revisit records without payload.
+shared markup. The dictionary is trained on a bounded, documented sample of what is to be archived: all payloads
+are cut into pieces of ``SAMPLE_BYTES`` characters, and the ``SAMPLE_RECORDS`` pieces with the smallest hashes of
+id, url and place are taken, so every part of every page is as likely to be among them. Everything else sees all
+records. Payloads that occur again are stored as revisit records without payload.
 
 Archives are written by Spark's text sink, so that its commit protocol takes care of lost executors and any
 Hadoop file system will do: a row is the bytes of one frame, and the "line separator" is an empty skippable
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.sampling import bounded_sample
+from pagewright.llm.sampling import bounded_pieces
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: An empty skippable frame whose bytes are also plain ASCII text.
@@ -139,8 +140,8 @@ def _with_first(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary of at most ``DICTIONARY_BYTES`` from the bounded sample; empty if there is too little."""
-    sample = bounded_sample(pages.select("page_id", "url", "html"), SAMPLE_RECORDS, "page_id", "url")
-    rows = sample.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("text"), "url").collect()
+    sample = bounded_pieces(pages.select("page_id", "url", "html"), "html", SAMPLE_BYTES, SAMPLE_RECORDS, "page_id", "url")
+    rows = sample.select("text", "url").collect()
     digest = "A" * 32
     samples = [record_bytes(i, r["url"], (b := r["text"].encode()), len(b), digest, None, False) for i, r in enumerate(rows)]
     try:

@@ -313,6 +313,15 @@ def test_archives_have_a_dictionary_and_single_records(spark):
     assert sum(map(len, archives)) - sum(words) < plain / 3
 
 
+def test_dictionary_knows_markup_at_the_end_of_long_pages(spark):
+    rng = random.Random(5)
+    tags = [f"<li class='{rng.getrandbits(64):x}'>" for _ in range(40)]
+    rows = [(i, f"http://h.e/{i}", f"{rng.getrandbits(80_000):x}{''.join(tags)}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = warc.train_dictionary(pages)
+    assert sum(tag.encode() in words for tag in tags) > 20
+
+
 # 9 packing
 
 
