@@ -12,8 +12,9 @@ Hadoop file system will do: a row is the bytes of one frame, and the "line separ
 frame, which Zstandard readers pass over.
 
 Defined results: a NULL payload is an empty one, a NULL url gives no target header; of equal payloads of at
-least ``min_bytes`` bytes the one with the smallest id is the response, and of rows that repeat that id
-exactly one; rows without id follow all others; an empty table gives archives without records.
+least ``min_bytes`` bytes the one with the smallest id is the response; rows that repeat that id with that
+payload are responses too, each archived in full, as a revisit would refer to its own id; rows without id
+follow all others; an empty table gives archives without records.
 """
 
 from __future__ import annotations

@@ -73,3 +73,13 @@ def test_page_operators_edges(spark):
     assert url_filter.judge_urls(empty).count() == 0
     warc.write_archives(empty, path := shared_path(spark))
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_repeats_of_the_first_page_are_responses(spark):
+    rows = [(1, "u", "p"), (1, "u", "p"), (1, "v", "q"), (2, "u", "p"), (2, "u", "p"), (None, "u", "p")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path := shared_path(spark))
+    read = warc.read_archives(spark, path).select("page_id", "url", "record_type", "refers_to", "payload").collect()
+    got = [(i, url, kind, first, payload and bytes(payload)) for i, url, kind, first, payload in read]
+    want = [(1, "u", "response", None, b"p")] * 2 + [(1, "v", "response", None, b"q")]
+    want += [(2, "u", "revisit", 1, None)] * 2 + [(None, "u", "revisit", 1, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
