@@ -41,7 +41,9 @@ class Rule:
     where: str = "n_words >= 20"
 
     def vote(self) -> Column:
-        value, where = F.expr(self.value), F.expr(self.where)
+        where = F.expr(self.where)
+        # Not even a shared subexpression divides where the rule abstains.
+        value = F.when(where, F.expr(self.value))
         return F.when(where & value.between(*self.good), F.lit(1)).when(
             where & ~value.between(*self.bad), F.lit(0)
         )
@@ -229,7 +231,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
     """
     measured = materialize(statistics(docs))
     voted = measured.withColumns({f"vote_{r.name}": r.vote() for r in rules})
-    prior, accuracies = estimate(voted.where(~base_failed()), rules)
+    prior, accuracies = estimate(voted, rules)
     return voted.withColumn("posterior", posterior(rules, prior, accuracies)).withColumns(
         {"base_failed": base_failed(), "kept": ~base_failed() & (F.col("posterior") >= threshold)}
     )

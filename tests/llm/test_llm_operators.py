@@ -373,6 +373,33 @@ def test_base_statistics_equal_brute_force(spark):
         )
 
 
+def test_statistics_of_all_documents_equal_brute_force(spark):
+    rows = {r["doc_id"]: r["text"] or "" for r in documents(spark).collect()}
+    judged = queries.weak_supervision(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in judged) == sorted(rows)
+    for row in judged:
+        text = rows[row["doc_id"]]
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        places = defaultdict(list)
+        for i in range(len(words) - 7):
+            places[tuple(words[i : i + 8])].append(i)
+        covered = {i + k for found in places.values() if len(found) > 1 for i in found for k in range(8)}
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\f\r")]
+        assert (row["n_words"], row["word_chars"], row["n_repeat_words"], row["n_dup_lines"], row["n_lines"]) == (
+            len(words), sum(map(len, words)), len(covered), len(lines) - len(set(lines)), len(lines),
+        )
+        assert row["n_symbols"] == sum(text.count(x) for x in "#*$%&|<>")
+        assert row["base_failed"] == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+
+
+def test_accuracies_come_from_all_rows(spark):
+    judged = queries.weak_supervision(spark, SMALL)
+    assert judged.where("base_failed").count() > 0
+    found = quality.posterior(quality.RULES, *quality.estimate(judged))
+    for row in judged.select("posterior", found.alias("want")).collect():
+        assert row["posterior"] == pytest.approx(row["want"])
+
+
 def test_verdicts_follow_labels_nobody_gave(spark):
     judged = queries.weak_supervision(spark, MIDDLE).toPandas()
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").toPandas().rename(columns={"quality": "label"})
