@@ -294,6 +294,12 @@ def test_url_verdicts(url, verdict):
     assert url_filter.UrlJudge().judge(url)[3] == verdict
 
 
+def test_vocabulary_has_no_labels_of_the_given_hosts(spark):
+    urls = [r["url"] for r in spark.read.parquet(f"{MIDDLE}/pages.parquet").select("url").collect()]
+    labels = {label for url in urls for label in url_filter.UrlJudge().judge(url)[0].split(".") if "-" in label}
+    assert labels and not labels & {*url_filter.STRICT, *url_filter.SOFT}
+
+
 # 8 WARC
 
 
