@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import fingerprints, line_dedup, mixing, ngram_join, packing, ppm, quality, sql, toxicity, url_filter, warc
+from pagewright.llm import (
+    embedding_join,
+    filter_audit,
+    fingerprints,
+    importance,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    ppm,
+    quality,
+    sql,
+    toxicity,
+    url_filter,
+    warc,
+)
 from pagewright.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +99,18 @@ def pack(spark, sf):
 @query("op10_weak_supervision")
 def weak_supervision(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
+
+
+@query("op11_filter_audit", sql.FILTER_AUDIT)
+def audit_filters(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_importance_resampling", sql.IMPORTANCE)
+def importance_resampling(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_grid_order_join")
+def grid_order_join(spark, sf):
+    return embedding_join.near_duplicates(table(spark, sf, "embeddings"))
