@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,8 @@ SYMBOLS = 256
 MOST_GRAMS = 1_000_000
 HEAD_WORDS = 200_000
 END_WORD = 0  # stands for the end token among word hashes
-PART = 4 << 20  # characters handled at a time
+PART = 256 << 10  # characters scored at a time
+COUNTED = 4 << 20  # characters counted at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,13 +68,14 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return made[keep], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    """The words of each text, for about ``PART`` characters of texts at a time."""
+def _parts(texts: pa.Array, size: int) -> Iterator[list[list[bytes]]]:
+    """The words of each text, for about ``size`` characters of texts at a time."""
     part, total = [], 0
-    for text in texts:
+    for item in texts:
+        text = item.as_py() or ""
         part.append(words_of(text))
-        total += len(text or "")
-        if total >= PART:
+        total += len(text)
+        if total >= size:
             yield part
             part, total = [], 0
     if part:
@@ -84,25 +85,19 @@ def _parts(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
 def _counts(docs: DataFrame) -> DataFrame:
     """kind ("gram" or "word"), key, n in the rows of ``docs`` that train, and m in all rows; words of those that train."""
 
+    def counted(kind: str, keys: np.ndarray, counts: np.ndarray, trains: bool) -> pa.RecordBatch:
+        columns = [pa.array([kind] * len(keys)), pa.array(keys), pa.array(counts * trains), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "m"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for trains in (True, False):
-                grams, words = [], []
-                for part in _parts(batch.filter(pc.equal(batch["trains"], trains))["text"].to_pylist()):
+                for part in _parts(batch.filter(pc.equal(batch["trains"], trains))["text"], COUNTED):
                     found, counts = np.unique(grams_of([b" ".join(w) for w in part])[0], return_counts=True)
-                    grams.append((found.view(np.int64), counts))
+                    yield counted("gram", found.view(np.int64), counts, trains)
                     if trains:
-                        every = [w for words in part for w in words]
-                        found, counts = np.unique(word_hashes(every), return_counts=True)
-                        words.append((found, counts))
-                        words.append((np.array([END_WORD]), np.array([len(part)])))
-                for kind, lists in (("gram", grams), ("word", words)):
-                    if lists:
-                        keys, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
-                        found, inverse = np.unique(keys, return_inverse=True)
-                        sums = np.bincount(inverse, weights=counts).astype(np.int64)
-                        columns = [pa.array([kind] * len(found)), pa.array(found), pa.array(sums * trains), pa.array(sums)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "m"])
+                        found, counts = np.unique(word_hashes([w for words in part for w in words]), return_counts=True)
+                        yield counted("word", np.append(found, END_WORD), np.append(counts, len(part)), trains)
 
     parts = docs.select("text", "trains").mapInArrow(run, "kind string, key long, n long, m long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -145,93 +140,19 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return below.select("key", "m", F.col("whole").alias("log"))
 
 
-@dataclass
-class Trie:
-    """For each order k: its (k + 1)-grams in ascending order, with counts.
-
-    The model in one process, for small texts; ``score`` uses ``log_probabilities``, which needs no limit.
-    """
-
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def prepare(self) -> Trie:
-        """Sums of contexts: totals, distinct bytes, and the logarithm of an escape, also after exclusion."""
-        self.contexts, self.totals, self.distinct, self.place = [], [], [], []
-        for grams, counts in zip(self.grams, self.counts, strict=True):
-            contexts, begin = np.unique(grams >> np.uint64(8), return_index=True)
-            self.contexts.append(contexts)
-            self.totals.append(np.add.reduceat(counts, begin) if len(begin) else np.zeros(0))
-            self.distinct.append(np.diff(np.append(begin, len(grams))))
-            self.place.append(np.searchsorted(contexts, grams >> np.uint64(8)))
-        # What is left of the next shorter context once a context's own bytes are excluded.
-        self.left_total, self.left_distinct, self.parent = [None], [None], [None]
-        for k in range(1, len(self.grams)):
-            shorter = self.grams[k] & np.uint64((1 << (8 * k)) - 1)
-            same = self.counts[k - 1][_find(self.grams[k - 1], shorter)[0]]
-            used = np.bincount(self.place[k], weights=same, minlength=len(self.contexts[k]))
-            parent = _find(self.contexts[k - 1], self.contexts[k] & np.uint64((1 << (8 * (k - 1))) - 1))[0]
-            self.parent.append(parent)
-            self.left_total.append(self.totals[k - 1][parent] - used)
-            self.left_distinct.append(self.distinct[k - 1][parent] - self.distinct[k])
-        return self
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each (ORDER + 1)-gram after those before."""
-        result = np.zeros(len(grams))
-        todo = np.arange(len(grams))  # grams whose byte has not been coded yet
-        child = np.full(len(grams), -1)  # the longer context that escaped, if any
-        for k in range(len(self.grams) - 1, -1, -1):
-            part = grams[todo] & np.uint64((1 << (8 * (k + 1))) - 1)
-            context, seen = _find(self.contexts[k], part >> np.uint64(8))
-            above = child[todo]
-            if k + 1 < len(self.grams) and len(self.contexts[k + 1]):
-                safe = np.maximum(above, 0)
-                total = np.where(above < 0, _at(self.totals[k], context), self.left_total[k + 1][safe])
-                distinct = np.where(above < 0, _at(self.distinct[k], context), self.left_distinct[k + 1][safe])
-            else:
-                total, distinct = _at(self.totals[k], context), _at(self.distinct[k], context)
-            place, hit = _find(self.grams[k], part)
-            hit &= seen
-            room = np.maximum(total, 1)
-            result[todo[hit]] += np.log10((_at(self.counts[k], place)[hit] - 0.5) / room[hit])
-            # A context with nothing left to code escapes for sure.
-            miss = seen & ~hit
-            escape = np.where(distinct > 0, 0.5 * distinct / room, 1.0)
-            result[todo[miss]] += np.log10(escape[miss])
-            child[todo] = np.where(seen, context, -1)
-            todo = todo[~hit]
-        unseen = SYMBOLS - (self.distinct[0][0] if len(self.distinct[0]) else 0)
-        result[todo] -= math.log10(max(1, unseen))
-        return result
-
-
-def _find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of values in a sorted array, and whether they are there."""
-    if not len(sorted_values):
-        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
-    places = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return places, sorted_values[places] == values
-
-
-def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return values[places] if len(values) else np.zeros(len(places))
-
-
 class Lookup:
-    """Hash table from 64-bit keys to doubles for whole arrays; each key is in one of ``probes`` slots."""
+    """Hash table from 64-bit keys to doubles, none of them NaN, for whole arrays; each key is in one of ``probes`` slots."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(10, int(len(keys) * 2.5).bit_length())
+        self.bits = max(10, (2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.used = np.zeros(1 << self.bits, dtype=bool)
-        self.values = np.zeros(1 << self.bits)
+        self.values = np.full(1 << self.bits, np.nan)  # NaN where nothing is
         todo, self.probes = np.arange(len(keys)), 0
         while len(todo):
             slots = self._slots(keys[todo], self.probes)
-            free = ~self.used[slots]
+            free = np.isnan(self.values[slots])
             # Of several keys for a free slot the last one gets it.
-            self.keys[slots[free]], self.used[slots[free]] = keys[todo[free]], True
+            self.keys[slots[free]] = keys[todo[free]]
             got = free & (self.keys[slots] == keys[todo])
             self.values[slots[got]] = values[todo[got]]
             todo, self.probes = todo[~got], self.probes + 1
@@ -243,19 +164,15 @@ class Lookup:
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are in the table."""
+        """Values (0 without), and which keys are in the table."""
         values, found = np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
-        todo = None
+        todo = np.arange(len(keys))
         for probe in range(self.probes):
-            part = keys if todo is None else keys[todo]
-            slots = self._slots(part, probe)
-            hit = (self.keys[slots] == part) & self.used[slots]
-            if todo is None:
-                values, found = np.where(hit, self.values[slots], 0.0), hit
-                todo = np.flatnonzero(~hit)
-            else:
-                values[todo[hit]], found[todo[hit]] = self.values[slots[hit]], True
-                todo = todo[~hit]
+            slots = self._slots(keys[todo], probe)
+            held = self.values[slots]
+            hit = (self.keys[slots] == keys[todo]) & ~np.isnan(held)
+            values[todo[hit]], found[todo[hit]] = held[hit], True
+            todo = todo[~hit]
             if not len(todo):
                 break
         return values, found
@@ -272,25 +189,6 @@ def _threshold(counts: DataFrame, most: int, n: str = "n") -> int:
     return 1
 
 
-def train(grams: DataFrame, most: int = MOST_GRAMS) -> Trie:
-    """The trie of the counted grams (key, n): all of them, or the ``most`` frequent of each order.
-
-    Longer grams have smaller counts, so the least count of an order is never below that of shorter grams, and
-    with a gram all its ends are in the trie.
-    """
-    orders, least = [], 1
-    for k in range(ORDER + 1):
-        ending = F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")
-        part = grams.groupBy(ending).agg(F.sum("n").alias("n")) if k < ORDER else grams
-        part = materialize(part)
-        least = max(least, _threshold(part, most))
-        rows = part.where(F.col("n") >= least).toArrow()
-        keys, counts = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-        order = np.argsort(keys)
-        orders.append((keys[order], counts[order]))
-    return Trie([x[0] for x in orders], [x[1] for x in orders])
-
-
 def held_out(doc_id: Column, by: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % by == 0, F.lit(True))
 
@@ -321,7 +219,7 @@ def score(docs: DataFrame, by: int = 10) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for part in _parts(batch["text"].to_pylist()):
+            for part in _parts(batch["text"], PART):
                 grams, begins = grams_of([b" ".join(w) for w in part])
                 logs, found = known.get(grams)
                 others = np.concatenate([[0], np.cumsum(~found)])
