@@ -242,5 +242,5 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
     found = similar_documents(docs, words, percent)
-    others = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    others = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
