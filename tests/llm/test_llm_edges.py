@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import fingerprints, line_dedup, mixing, ngram_join, packing, ppm, quality, toxicity, url_filter, warc
 from pagewright.storage import shared_path
 
-CLASHES = ["n", "score", "key", "token", "kept", "common", "rate", "copies", "place", "range", "copy", "row", "features", "words", "digest", "shard", "length", "payload", "host"]
+CLASHES = ["n", "score", "key", "token", "kept", "common", "rate", "copies", "place", "range", "copy", "row", "features", "words", "digest", "shard", "length", "payload", "host", "_toxic", "_other", "toxic", "label", "turn", "fold", "held_out", "predicted"]
 LONG = "word " * 30_000 + "\n" + "x" * 50_000
 ROWS = [
     (1, None), (2, ""), (3, "one two three four five"), (3, "one two three four five"), (4, "One two\tthree four five"),
@@ -83,3 +83,26 @@ def test_repeats_of_the_first_page_are_responses(spark):
     want = [(1, "u", "response", None, b"p")] * 2 + [(1, "v", "response", None, b"q")]
     want += [(2, "u", "revisit", 1, None)] * 2 + [(None, "u", "revisit", 1, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_filtering_stages_keep_all_columns(spark):
+    docs = table(spark)
+    kept = toxicity.without_toxic(docs, labels(spark))
+    assert kept.columns == docs.columns and kept.count() <= len(ROWS)
+    single = ngram_join.one_of_each(docs)
+    # Exact copies of one doc_id stay, the one with a larger doc_id goes.
+    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect() if r["doc_id"]) == [1, 2, 3, 3, 5, 6, 7, 8]
+
+
+ODD = [(1, None), (2, ""), (3, "one two three four five"), (3, "one two three four five"), (4, "x " * 40_000 + "y" * 40_000), (5, "one two three four five")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_pipeline_stages_on_odd_rows(spark, rows):
+    import corpus_pipeline
+
+    folder = shared_path(spark)
+    table(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    labels(spark).write.parquet(f"{folder}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, folder).select("doc_id", "start", "length").collect()
+    assert {r["doc_id"] for r in pieces} <= {1, 2, 3, 4} and bool(rows) >= bool(pieces)

@@ -1,9 +1,11 @@
 """The operators against brute force, exact round trips and held-out labels."""
 
+import functools
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+import trie_model
 from pagewright.llm import components, fingerprints, line_dedup, mixing, ngram_join, packing, ppm, quality, queries, toxicity, url_filter, warc
 from pagewright.storage import shared_path
 
@@ -136,6 +139,33 @@ def test_toxicity_on_held_out_labels(spark):
     assert held["predicted"][held["toxic"] == 0].mean() < 0.1 and scores["score"].between(0, 1).all()
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    scores = queries.score_toxicity(spark, folder).toPandas()
+    known = scores.merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id")
+    known = known.merge(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
+    held = known[known["held_out"]]
+    bound = held["score"][held["toxic"] == 0].quantile(0.95)
+    for lang, rows in held[held["toxic"] == 1].groupby("lang"):
+        assert (rows["score"] > bound).mean() >= 0.85 and (rows["predicted"] == 1).mean() >= 0.8, lang
+    assert (held["predicted"][held["toxic"] == 0]).mean() < 0.01
+
+
+def test_lexicons_leave_their_own_fold_out(spark):
+    rng = random.Random(3)
+    rows = [(f"{'mordaxen' if i % 4 == 0 else 'plain'} {rng.choice('abcdefgh') * 5}{' onlyhere' if i % 20 == 0 else ''}", float(i % 4 == 0), 0 if i % 20 == 0 else i % 5) for i in range(400)]
+    learned = toxicity.lexicons(spark.createDataFrame(rows, "text string, label double, fold int"))
+    assert len(learned) == toxicity.FOLDS + 1
+    assert all("mordaxen" in x and "morda~" in x and "plain" not in x for x in learned)
+    assert ["onlyhere" in x for x in learned] == [False, True, True, True, True, True]
+
+
+@pytest.mark.parametrize("text", ["!" * 10**6, "1+" * 500_000, "you idiot " * 100_000, "a.b" * 300_000, "x" * 10**6])
+def test_features_of_long_texts_are_linear(text):
+    made, begun = toxicity.TextFeatures({"idiot": 1.0, "xxxx~": 1.0}), time.perf_counter()
+    assert len(made.of(text)) == len(toxicity.FEATURES) and time.perf_counter() - begun < 1
+
+
 def test_disguised_and_aimed_words():
     made = dict(zip(toxicity.FEATURES, toxicity.TextFeatures().of("You are an id1ot, a l.o.s.e.r and SCUM!!! Clownish."), strict=True))
     assert made["disguised_listed"] == 2 and made["distinct_listed"] == 1 and made["near_reader"] > 0 and made["exclamations"] > 0
@@ -160,14 +190,15 @@ def test_scores_equal_brute_force(spark):
                     trie[form[i][p - k : p]][form[i][p]] += 1
     total, room = sum(counts.values()), sum(counts.values()) + 0.1 * (len(counts) + 1)
 
-    def coded(data, p):
+    @functools.cache
+    def coded(gram):
         excluded, result = set(), 0.0
         for k in range(ppm.ORDER, -1, -1):
-            left = {b: n for b, n in trie.get(data[p - k : p], {}).items() if b not in excluded}
+            left = {b: n for b, n in trie.get(gram[ppm.ORDER - k : -1], {}).items() if b not in excluded}
             if not left:
                 continue
-            if data[p] in left:
-                return result + math.log10((left[data[p]] - 0.5) / sum(left.values()))
+            if gram[-1] in left:
+                return result + math.log10((left[gram[-1]] - 0.5) / sum(left.values()))
             result += math.log10(0.5 * len(left) / sum(left.values()))
             excluded |= set(left)
         return result - math.log10(256 - len(excluded))
@@ -179,8 +210,8 @@ def test_scores_equal_brute_force(spark):
         assert (rows[i]["held_out"], rows[i]["n_tokens"], rows[i]["train_tokens"]) == (held[i], len(every), total)
         assert rows[i]["n_known"] == sum(counts[w] > 0 for w in every)
         assert rows[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / room) for w in every))
-    for i in sorted(texts)[:40]:
-        assert rows[i]["score"] == pytest.approx(sum(coded(form[i], p) for p in range(ppm.ORDER, len(form[i]))))
+    for i in texts:
+        assert rows[i]["score"] == pytest.approx(sum(coded(form[i][p - ppm.ORDER : p + 1]) for p in range(ppm.ORDER, len(form[i]))))
 
 
 def test_pruned_trie_stays_a_distribution(spark):
@@ -188,7 +219,7 @@ def test_pruned_trie_stays_a_distribution(spark):
     keys, counts = np.unique(grams, return_counts=True)
     counted = spark.createDataFrame(pd.DataFrame({"key": keys.view(np.int64), "n": counts}))
     for most in (1000, 6):
-        model = ppm.train(counted, most).prepare()
+        model = trie_model.train(counted, most).prepare()
         for context in (b"abrac", b"zzzzz", b"\xfe\xfe\xfeab"):
             whole = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
             assert (10 ** model.log10(whole)).sum() == pytest.approx(1)
@@ -199,7 +230,6 @@ def test_scores_do_not_depend_on_what_goes_to_the_tasks(spark, monkeypatch, most
     docs = documents(spark)
     want = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
     monkeypatch.setattr(ppm, "MOST_GRAMS", most)
-    monkeypatch.setattr(ppm.train, "__defaults__", (most,))
     assert {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()} == pytest.approx(want)
 
 
@@ -211,7 +241,7 @@ def test_log_probabilities_equal_the_whole_trie(spark):
         rows = spark.createDataFrame([(k, n[k], m[k]) for k in m], "key long, n long, m long")
         keys, counts = np.unique(training, return_counts=True)
         counted = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist(), strict=True)), "key long, n long")
-        model = ppm.train(counted).prepare()
+        model = trie_model.train(counted).prepare()
         got = {r["key"]: r["log"] for r in ppm.log_probabilities(rows).collect()}
         every = np.array(sorted(m), dtype=np.uint64)
         assert got == pytest.approx(dict(zip(every.tolist(), model.log10(every).tolist(), strict=True)))
