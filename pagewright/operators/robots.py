@@ -9,17 +9,22 @@ from pagewright.functions.binding import let
 from pagewright.functions.urls import host_key, path_and_query
 
 
+def speaking_to(rules: DataFrame, agent: str) -> DataFrame:
+    """Rules of groups that name ``agent`` (``priority`` 0) or all agents (1)."""
+    name = agent.split("/")[0].lower()
+    for_all = F.array_contains("agents", "*")
+    for_us = ~for_all & F.exists("agents", lambda a: F.lit(name).contains(a))
+    priority = F.when(for_us, F.lit(0)).when(for_all, F.lit(1))
+    return rules.withColumn("priority", priority).where(F.col("priority").isNotNull())
+
+
 def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
     """(host_key, rules): the one group of each robots file that speaks to ``agent``, as an array.
 
     The first group naming the agent wins; else the first '*' group. One row holds the rules of one
     robots file, so its size is that of the file.
     """
-    name = agent.split("/")[0].lower()
-    for_all = F.array_contains("agents", "*")
-    for_us = ~for_all & F.exists("agents", lambda a: F.lit(name).contains(a))
-    priority = F.when(for_us, F.lit(0)).when(for_all, F.lit(1))
-    matching = rules.withColumn("priority", priority).where(F.col("priority").isNotNull())
+    matching = speaking_to(rules, agent)
     rule = F.struct(
         "rule_no",
         ((F.col("field") == "allow") | (F.col("path") == "")).alias("allow"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import fixed
 from pagewright.functions.urls import canonicalize_url, skip_reason, url_host
+from pagewright.operators import options as own
 from pagewright.schemas import CrawlParams
 
 SALTS = 32
@@ -45,19 +46,31 @@ def seed_reason(url: Column, start_host: Column, params: CrawlParams) -> Column:
     )
 
 
+def own_seed_reason(url: Column, start_host: Column) -> Column:
+    """Like ``seed_reason``, under the site's own column ``options``."""
+    return F.coalesce(F.when(url == "", F.lit(fixed.BAD_URL)), own.external_reason(url, start_host), own.url_reason(url))
+
+
 def split_by_reason(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with a ``reason``; skips are (site_id, url, reason)."""
     kept = frame.where(F.col("reason").isNull()).drop("reason")
     return kept, frame.where(F.col("reason").isNotNull()).select("site_id", "url", "reason")
 
 
-def sitemap_entries(found: DataFrame, sites: DataFrame, params: CrawlParams) -> tuple[DataFrame, DataFrame]:
+def sitemap_entries(
+    found: DataFrame, sites: DataFrame, params: CrawlParams, options: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Entries (site_id, url, depth 0) and skips from sitemap URLs (site_id, raw_url).
 
-    URLs without a canonical form are dropped silently. Only the host is checked, not the skip rules.
+    URLs without a canonical form are dropped silently. Only the host is checked, not the skip rules. ``options`` are those
+    of the sites, from ``site_options``.
     """
     canonical = canonical_seeds(found, sites).where("url <> ''")
-    judged = canonical.withColumn("reason", external_reason(F.col("url"), F.col("start_host"), params))
+    if options is None:
+        reason = external_reason(F.col("url"), F.col("start_host"), params)
+    else:
+        canonical, reason = canonical.join(options, "site_id"), own.external_reason(F.col("url"), F.col("start_host"))
+    judged = canonical.withColumn("reason", reason)
     kept, skips = split_by_reason(judged)
     return kept.select("site_id", "url").distinct().withColumn("depth", F.lit(0)), skips
 
@@ -86,8 +99,8 @@ def merge_seeds(entries: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.groupBy("site_id", "url").agg(first).select("site_id", "url", "first.depth")
 
 
-def first_per_site(frame: DataFrame, limit: int, *order: Column | str) -> DataFrame:
-    """The first ``limit`` rows of every site, with their rank ``rn``.
+def first_per_site(frame: DataFrame, limit: int | Column, *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows of every site, with their rank ``rn``; a column gives each site its own limit.
 
     A first round keeps the best rows of 32 random slices of each site, so even a site with a third of
     all rows sends at most 32 x limit rows to the one task that ranks it.
@@ -100,8 +113,11 @@ def first_per_site(frame: DataFrame, limit: int, *order: Column | str) -> DataFr
     return ranked.where(F.col("rn") <= limit)
 
 
-def page_budget(entries: DataFrame, max_pages: int | None) -> DataFrame:
-    """The first ``max_pages`` URLs of every site in URL order; all without a budget."""
+def page_budget(entries: DataFrame, max_pages: int | None, options: DataFrame | None = None) -> DataFrame:
+    """The first ``max_pages`` URLs of every site in URL order; all without a budget. With ``options`` each site has its own."""
+    if options is not None:
+        limited = entries.join(options.select("site_id", F.col("options.max_pages").alias("budget")), "site_id")
+        return first_per_site(limited, F.col("budget"), "url").drop("rn", "budget")
     if max_pages is None:
         return entries
     return first_per_site(entries, max_pages, "url").drop("rn")

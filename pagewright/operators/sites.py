@@ -36,6 +36,15 @@ def skip_reason_counts(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy("site_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def skip_reason_rollup(skipped: DataFrame) -> DataFrame:
+    """(site_id, reason, level, n): counts per site and reason (level 0), per site (1), per reason (2) and in all (3).
+
+    Columns that a level sums over are NULL.
+    """
+    counts = skip_reason_counts(skipped).cube("site_id", "reason")
+    return counts.agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n"))
+
+
 def page_struct(pages: DataFrame) -> Column:
     names = [*render.TEXT_FIELDS, "extraction_attempts", "warnings"]
     return F.struct(*[pages[name].alias(name) for name in names])

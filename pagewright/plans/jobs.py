@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pagewright.functions import fixed
 from pagewright.functions.text import utc_now_iso
 from pagewright.operators import crawl, extract, seeds
+from pagewright.operators import options as own
 from pagewright.operators.links import link_edges, with_links
 from pagewright.operators.robots import with_robots_verdict
 from pagewright.operators.sites import site_counts
 from pagewright.schemas import CrawlParams
-from pagewright.storage import materialize
+from pagewright.sources import sitemaps
 from pagewright.sources.fetched import fetch_failed, is_html, one_per_url, with_canonical_url
+from pagewright.storage import materialize
 
 
 class SiteRun(NamedTuple):
@@ -88,19 +90,28 @@ def site_run(
     discovery, ``explicit`` (site_id, raw_url) further seeds, ``fetched`` the page table with a unique
     ``order`` column. Only URLs move until the pages to visit are known; then the page texts are
     joined by that column. Start URLs are canonicalized first; a site without a valid one is only a skip.
-    With ``lazy_pages`` the texts are extracted when they are asked for.
+    With ``lazy_pages`` the texts are extracted when they are asked for. Option columns of ``sites`` (see
+    ``operators.options``) hold for their site alone.
     """
     stamp = extracted_at if extracted_at is not None else _now(sites)
+    options = materialize(own.site_options(sites, params)) if own.has_options(sites) else None
     given, sites = sites, seeds.canonical_sites(sites)
     starts = sites.select("site_id", F.col("start_url").alias("raw_url"))
     asked = seeds.canonical_seeds(starts.unionByName(explicit.select("site_id", "raw_url")), sites)
-    judged = asked.withColumn("reason", seeds.seed_reason(F.col("url"), F.col("start_host"), params))
+    if options is None:
+        judged = asked.withColumn("reason", seeds.seed_reason(F.col("url"), F.col("start_host"), params))
+    else:
+        reason = seeds.own_seed_reason(F.col("url"), F.col("start_host"))
+        judged = asked.join(options, "site_id").withColumn("reason", reason)
     judged = judged.withColumn("url", F.when(F.col("url") == "", F.col("raw_url")).otherwise(F.col("url")))
     judged = materialize(judged.select("site_id", "url", "reason"))
     wanted, seed_skips = seeds.split_by_reason(judged)
-    budgeted = seeds.page_budget(entries, params.max_pages)
-    visit = seeds.page_budget(seeds.merge_seeds(budgeted, wanted), params.max_pages)
-    if params.respect_robots and robots is not None:
+    budgeted = seeds.page_budget(entries, params.max_pages, options)
+    visit = seeds.page_budget(seeds.merge_seeds(budgeted, wanted), params.max_pages, options)
+    if robots is not None and options is not None:
+        heeded = with_robots_verdict(visit, robots).join(options, "site_id")
+        visit = heeded.withColumn("allowed", F.col("allowed") | ~F.col("options.respect_robots")).drop("options")
+    elif params.respect_robots and robots is not None:
         visit = with_robots_verdict(visit, robots)
     else:
         visit = visit.withColumn("allowed", F.lit(True))
@@ -133,6 +144,45 @@ def site_run(
     return SiteRun(materialize(site_counts(timed, sitemap, usable)), sitemap, pages, skipped)
 
 
+def site_job(
+    sites: DataFrame,
+    given: DataFrame,
+    documents: DataFrame,
+    fetched: DataFrame,
+    params: CrawlParams,
+    order: str,
+    robots: DataFrame | None = None,
+    explicit: DataFrame | None = None,
+    **options,
+) -> SiteRun:
+    """The whole site run: given sitemaps, else a probe, else a walk over the links; then ``site_run``.
+
+    ``given`` is (site_id, location) of sitemaps that were asked for, ``documents`` (location, body) of all sitemap documents that
+    were fetched, the other tables are those of ``site_run``. A site without a given sitemap is probed at ``/sitemap.xml`` of its start
+    URL, unless its option ``probe_sitemap`` is false. Only sites for which this leaves no usable URL are walked. Skips of every
+    step are reported.
+    """
+    starts = materialize(seeds.canonical_sites(sites))
+    own_options = materialize(own.site_options(sites, params))
+    parsed = sitemaps.parse_for_expansion(documents)
+    root = F.regexp_extract("start_url", r"^([^:]+://[^/]+)", 1)
+    probed = starts.join(own_options.where("options.probe_sitemap").select("site_id"), "site_id")
+    probed = probed.join(given.select("site_id").distinct(), "site_id", "left_anti")
+    probes = probed.select("site_id", F.concat(root, F.lit("/sitemap.xml")).alias("location"))
+    roots = materialize(given.select("site_id", "location").unionByName(probes))
+    found = sitemaps.expand_parsed(roots, parsed).withColumnRenamed("url", "raw_url")
+    listed, skips = seeds.sitemap_entries(materialize(found), starts, params, own_options)
+    listed = materialize(listed)
+    walked_sites = sites.join(seeds.sites_without(starts.select("site_id"), listed), "site_id", "left_semi")
+    walked, walk_skips = discover(walked_sites, fetched, params, order, robots)
+    entries = materialize(listed.unionByName(walked.select("site_id", "url", "depth")))
+    skips = skips.unionByName(walk_skips.select("site_id", "url", "reason"))
+    nothing = starts.select("site_id", F.col("start_url").alias("raw_url")).where(F.lit(False))
+    return site_run(
+        sites, entries, explicit if explicit is not None else nothing, fetched, params, order, robots=robots, discovery_skips=skips, **options
+    )
+
+
 def _now(frame: DataFrame) -> Column:
     """The time of this call as a literal, so that later steps do not move it."""
     return F.lit(frame.sparkSession.range(1).select(utc_now_iso().alias("now")).first()["now"])

@@ -109,13 +109,22 @@ def unreadable_sitemaps(documents: DataFrame) -> DataFrame:
 def expand_sitemap_index(
     roots: DataFrame, documents: DataFrame, max_depth: int = fixed.SITEMAP_INDEX_DEPTH
 ) -> DataFrame:
-    """(site_id, url) of all page URLs below the root sitemaps (site_id, location).
+    """(site_id, url) of all page URLs below the root sitemaps (site_id, location)."""
+    return expand_parsed(roots, parse_for_expansion(documents), max_depth)
+
+
+def parse_for_expansion(documents: DataFrame) -> DataFrame:
+    """Sitemap documents (location, body) parsed and written once, for any number of expansions."""
+    return materialize(parse_documents(documents).select("location", "urls", "children"))
+
+
+def expand_parsed(roots: DataFrame, parsed: DataFrame, max_depth: int = fixed.SITEMAP_INDEX_DEPTH) -> DataFrame:
+    """``expand_sitemap_index`` over documents from ``parse_for_expansion``.
 
     One join per index level, on parsed documents that are written once. Children that are missing from the documents or unreadable give
     nothing. At the last level an index's child locations count as page URLs. Within one index, a URL
     equal to the location of the same or an earlier child is dropped.
     """
-    parsed = materialize(parse_documents(documents).select("location", "urls", "children"))
     level = roots.select("site_id", "location", F.array().cast("array<struct<call:string,pos:int>>").alias("via"))
     pages, calls = [], []
     for depth in range(max_depth, -1, -1):

@@ -45,7 +45,15 @@ def materialize(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def materialize_by(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
+def delete_now(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of frames that ``materialize`` gave and nothing reads any more."""
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize_by(frame: DataFrame, *key: str) -> tuple[DataFrame, str]:
     """Like ``materialize``, without duplicate rows and bucketed by ``key``; also gives the table name.
 
     Joins on the key in every later round need no shuffle of this side. The rows are brought together
@@ -55,7 +63,7 @@ def materialize_by(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"pagewright_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/pagewright/{name}"
-    writer = frame.repartition(buckets, key).distinct().write.bucketBy(buckets, key).sortBy(key)
+    writer = frame.repartition(buckets, *key).distinct().write.bucketBy(buckets, *key).sortBy(*key)
     writer.format("parquet").option("path", path).saveAsTable(name)
     delete_at_exit(spark, path)
     return spark.table(name), name
