@@ -77,6 +77,45 @@ def _has(segment: Column, bit: int) -> Column:
     return segment["place"].bitwiseAND(F.lit(bit)) != 0
 
 
+def strategy_array(strategies: DataFrame) -> Column:
+    """A table of strategies (ord, name, recall, tables, links, comments) as one array of structs.
+
+    The table is a handful of options; its rows come to the driver and become part of the plan, so pages meet them without a join.
+    """
+    rows = strategies.orderBy("ord").select(*[F.col(n) for n in Strategy._fields]).collect()
+    one = lambda row: F.struct(*[F.lit(row[n]).alias(n) for n in Strategy._fields])
+    return F.array(*map(one, rows))
+
+
+def texts_of_strategies(segments: Column, strategies: Column) -> Column:
+    """Array of (strategy, text), one for each struct in the array ``strategies``.
+
+    The expression is the same size however many strategies there are.
+    """
+    has_main = F.exists(segments, lambda s: _has(s, html.IN_MAIN) & ~_has(s, html.HIDDEN))
+
+    def text(strategy: Column, has_main: Column) -> Column:
+        def wanted(segment: Column) -> Column:
+            inside = F.when(has_main, _has(segment, html.IN_MAIN)).otherwise(~_has(segment, html.IN_BOILERPLATE))
+            scope = F.when(strategy["recall"], ~_has(segment, html.IN_NAV_FOOTER)).otherwise(inside)
+            tables = strategy["tables"] | ~_has(segment, html.IN_TABLE)
+            comments = strategy["comments"] | ~_has(segment, html.IN_COMMENTS)
+            return scope & tables & comments & ~_has(segment, html.HIDDEN)
+
+        def shown(segment: Column) -> Column:
+            target = F.concat(segment["text"], F.lit(" ("), segment["link"], F.lit(") "))
+            return F.when(strategy["links"] & (segment["link"] != ""), target).otherwise(segment["text"])
+
+        return normalize_text(F.array_join(F.transform(F.filter(segments, wanted), shown), " "))
+
+    def every(has_main: Column) -> Column:
+        return F.transform(
+            strategies, lambda s: F.struct(s["name"].alias("strategy"), text(s, has_main).alias("text"))
+        )
+
+    return let(F.coalesce(has_main, F.lit(False)), every)
+
+
 @by_name(1)
 def strategy_text(segments: Column, strategy: Strategy) -> Column:
     """Text of the segments a strategy lets through."""

@@ -45,9 +45,8 @@ def site_options(sites: DataFrame, params: CrawlParams) -> DataFrame:
     for name, kind in KINDS.items():
         own = F.col(name).cast(kind) if name in sites.columns else F.lit(None).cast(kind)
         if name == "max_pages":
-            own = F.when(own > 0, own)
-            if not params.override_hard_cap:
-                own = F.least(own, F.lit(fixed.HARD_MAX_PAGES))
+            cap = 2**31 - 1 if params.override_hard_cap else fixed.HARD_MAX_PAGES
+            own = F.when(own > 0, F.least(own, F.lit(cap)))
         fields.append(F.coalesce(own, defaults[name].cast(kind)).alias(name))
     return sites.select("site_id", F.struct(*fields).alias("options"))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import file_extension, site_filename
 from pagewright.functions.urls import url_host
 from pagewright.operators import render
+from pagewright.operators.prefix import running_total
 from pagewright.operators.render import DEFAULT_STYLE, Style
 from pagewright.schemas import CrawlParams
+from pagewright.storage import materialize
 
 # Longest site dump that is put together as one string; a row cannot hold much more. Longer ones stay chunks.
 MAX_ASSEMBLED_CHARS = 512 * 1024 * 1024
@@ -247,26 +249,59 @@ def collect_site(
     return listed.join(nested, "site_id", "full")
 
 
-def write_dump(chunks: DataFrame, sites: DataFrame, path: str, fmt: str) -> None:
-    """One folder per site, named like its dump; its text files in name order are the dump.
-
-    Chunks are range-partitioned in dump order, so a large site is written by many tasks. Of sites whose
-    dumps would have the same name, each but the first in the order of site_id gets its number in the name.
-    """
+def dump_names(sites: DataFrame, fmt: str) -> DataFrame:
+    """(site_id, dump). Of sites whose dumps would have the same name, each but the first in the order of site_id gets its number
+    in the name."""
     name = site_filename(url_host(F.col("start_url")), F.col("finished_at"), fmt)
     names = sites.select("site_id", name.alias("name"))
     twins = Window.partitionBy("name").orderBy("site_id")
     number = F.row_number().over(twins)
     extension = F.lit("." + file_extension(fmt))
     unique = F.concat(F.expr(f"left(name, length(name) - {len(file_extension(fmt)) + 1})"), F.lit("-"), number, extension)
-    names = names.select("site_id", F.when(number == 1, F.col("name")).otherwise(unique).alias("dump"))
-    named = chunks.join(names, "site_id")
+    return names.select("site_id", F.when(number == 1, F.col("name")).otherwise(unique).alias("dump"))
+
+
+def write_dump(chunks: DataFrame, sites: DataFrame, path: str, fmt: str) -> None:
+    """One folder per site, named like its dump; its text files in name order are the dump.
+
+    Chunks are range-partitioned in dump order, so a large site is written by many tasks. For very many sites use
+    ``write_dump_parts``.
+    """
+    named = chunks.join(dump_names(sites, fmt), "site_id")
     ordered = named.repartitionByRange("dump", "section", "position").sortWithinPartitions(
         "dump", "section", "position"
     )
     ordered.select("dump", F.col("chunk").alias("value")).write.partitionBy("dump").text(path)
 
 
+def write_dump_parts(chunks: DataFrame, sites: DataFrame, path: str, fmt: str, part_bytes: int = 64 << 20) -> None:
+    """All dumps one behind the other in text files of about ``part_bytes``, and an index of where each is.
+
+    The number of files follows the bytes, not the sites: small dumps share a file, a large one goes on in the next. A chunk's
+    place is the running sum of the sizes before it, in slices, so no task or row holds a site. ``path``/parts has a folder per
+    part, ``path``/index (dump, part, start, bytes) the pieces of every dump.
+    """
+    named = chunks.join(dump_names(sites, fmt), "site_id").select("dump", "section", "position", "chunk")
+    size = F.octet_length("chunk") + 1
+    placed = running_total(named, [], ["dump", "section", "position"], size.cast("long"), "at")
+    placed = materialize(placed.withColumn("part", F.floor(F.col("at") / part_bytes).cast("long")))
+    whole = placed.repartition("part").sortWithinPartitions("part", "dump", "section", "position")
+    whole.select("part", F.col("chunk").alias("value")).write.partitionBy("part").text(f"{path}/parts")
+    # A chunk belongs to the part in which it begins, so a part begins with its first chunk.
+    begins = placed.groupBy("part").agg(F.min("at").alias("first"))
+    pieces = placed.groupBy("dump", "part").agg(F.min("at").alias("at"), F.sum(size).alias("bytes"))
+    index = pieces.join(begins, "part").select("dump", "part", (F.col("at") - F.col("first")).alias("start"), "bytes")
+    index.write.parquet(f"{path}/index")
+
+
+def read_dump_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(dump, part, content) of every piece; the contents of a dump in the order of the parts are the dump."""
+    files = spark.read.format("binaryFile").load(f"{path}/parts").select("part", F.col("content").alias("whole"))
+    pieces = spark.read.parquet(f"{path}/index").join(files, "part")
+    content = F.expr("substring(whole, cast(start + 1 as int), cast(bytes as int))").cast("string")
+    return pieces.select("dump", "part", content.alias("content"))
+
+
 def write_page_dumps(pages: DataFrame, path: str, fmt: str, style: Style = DEFAULT_STYLE) -> None:
     """Rendered pages as Parquet rows (file_name, content), one row per page."""
     from pagewright.functions.text import page_filename

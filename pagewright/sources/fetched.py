@@ -60,8 +60,37 @@ def still_to_write(fetched: DataFrame, written: DataFrame, order: str) -> DataFr
     return left.select("url", *[F.col("newest")[c].alias(c) for c in (order, *others)])
 
 
+def cache_state(wanted: DataFrame, cached: DataFrame, at: Column, max_age: int, time: str = "fetched_at") -> DataFrame:
+    """Wanted (url, ...) with what a cache holds for it at the time ``at``: ``state`` and the fields of the row it would serve.
+
+    The cache's row of a URL is its newest one not after ``at``; one older than ``max_age`` seconds is ``expired``, else it is
+    a ``hit``. Without one the URL is a ``miss``. Give the cache without its HTML. Copies of a URL combine before the shuffle.
+    """
+    others = [c for c in cached.columns if c not in ("url", time)]
+    known = cached.where(F.col(time) <= at).groupBy("url").agg(F.max(F.struct(time, *others)).alias("newest"))
+    joined = wanted.join(known, "url", "left")
+    oldest = at - F.make_dt_interval(secs=F.lit(max_age))
+    state = F.when(F.col("newest").isNull(), "miss").when(F.col(f"newest.{time}") < oldest, "expired").otherwise("hit")
+    return joined.select(*[F.col(f"`{c}`") for c in wanted.columns], state.alias("state"), F.col(f"newest.{time}").alias(time), *[F.col(f"newest.{c}") for c in others])
+
+
+def write_page_table(fetched: DataFrame, path: str, row_group_bytes: int = 32 << 20) -> None:
+    """Store a page table for lookups: with its canonical URLs, sorted by them, with Bloom filters for them.
+
+    Sorted files have narrow ranges of URLs, so a lookup opens few of them; within a range the filters rule out nearly all
+    other row groups before their HTML is read.
+    """
+    stored = with_canonical_url(fetched)
+    sorted_rows = stored.repartitionByRange("canonical_url").sortWithinPartitions("canonical_url")
+    writer = sorted_rows.write.option("parquet.bloom.filter.enabled#canonical_url", "true")
+    writer.option("parquet.block.size", row_group_bytes).parquet(path)
+
+
 def page_lookup(fetched: DataFrame, url: str) -> DataFrame:
-    """Rows of one page. Raises if the argument is no URL."""
+    """Rows of one page. Raises if the argument is no URL.
+
+    Only a table that has its ``canonical_url`` stored, see ``write_page_table``, is read in part.
+    """
     spark = fetched.sparkSession
     wanted = spark.range(1).select(canonicalize_url(F.lit(url)).alias("u")).first()["u"]
     if not wanted:

@@ -1013,7 +1013,7 @@ def page_budget(spark, sf):
     f"WITH {RUN_SQL} SELECT site_id, string_agg(url, ' ' ORDER BY url) AS urls FROM sitemap GROUP BY site_id",
 )
 def sort_by_url(spark, sf):
-    result = run(spark, sf)
+    result = run(spark, sf, lazy_pages=True)
     nested = sites.collect_site(result.sitemap, result.pages, RUN)
     return nested.select("site_id", joined("sitemap.url", " ").alias("urls"))
 
@@ -1036,7 +1036,7 @@ def union_sources(spark, sf):
       SELECT * FROM skipped UNION ALL SELECT * FROM skipped) GROUP BY ALL""",
 )
 def union_skips(spark, sf):
-    skipped = run(spark, sf).skipped
+    skipped = run(spark, sf, lazy_pages=True).skipped
     both = skipped.unionByName(skipped)
     return both.groupBy("site_id", "url", "reason").agg(F.count(F.lit(1)).alias("n"))
 

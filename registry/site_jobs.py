@@ -6,13 +6,15 @@ import functools
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import pacing, robots, sites
+from pagewright.operators import extract, pacing, robots, sites
 from pagewright.plans import jobs
 from pagewright.schemas import CrawlParams
+from pagewright.sources import fetched as fetched_source
 from pagewright.sources import robots as robots_source
+from pagewright.storage import delete_at_exit, shared_path
 from registry import sql as S
 from registry import tables as T
-from registry.catalog import IS_BINARY_SQL, IS_HEAVY_SQL, ORACLES, _skips, query, stamp
+from registry.catalog import IS_BINARY_SQL, IS_HEAVY_SQL, ORACLES, RUN, STRATEGY_SQL, _rich_text, _skips, query, run, stamp
 
 # --- pace ------------------------------------------------------------------------------------------
 
@@ -154,3 +156,72 @@ def site_job(spark, sf):
     entries = result.sitemap.select("site_id", "url", "depth", F.lit(None).cast("string").alias("reason"))
     skips = result.skipped.select("site_id", "url", F.lit(None).cast("int").alias("depth"), "reason")
     return entries.unionByName(skips).groupBy("site_id", "url", "depth", "reason").agg(F.count("*").alias("n"))
+
+
+# --- stored pages ----------------------------------------------------------------------------------
+
+
+@query("stored_page_lookup", ORACLES["page_lookup"])
+def stored_page_lookup(spark, sf):
+    """Write the page table for lookups and look up one page in it."""
+    path = shared_path(spark)
+    fetched_source.write_page_table(T.fetched(spark, sf), path)
+    delete_at_exit(spark, path)
+    wanted = T.fetched(spark, sf).agg(F.max_by("url", "page_id").alias("u")).first()["u"]
+    found = fetched_source.page_lookup(spark.read.parquet(path), wanted)
+    return found.select("page_id", "canonical_url", F.length("html").alias("html_chars"))
+
+
+START = 1767225600  # 2026-01-01, UTC
+
+
+@query(
+    "cache_ttl",
+    # Minutes of the day: every page was fetched once, every third page twice. Asked at minute 60, for 40 minutes.
+    f"""WITH {S.BASE}, cached AS (
+      SELECT canon AS url, page_id, page_id % 100 AS minute FROM base UNION ALL SELECT canon, page_id, page_id * 7 % 100 FROM base WHERE page_id % 3 = 0
+    ), newest AS (
+      SELECT * FROM cached WHERE minute <= 60 QUALIFY row_number() OVER (PARTITION BY url ORDER BY minute DESC, page_id DESC) = 1
+    ) SELECT url, CASE WHEN n.url IS NULL THEN 'miss' WHEN minute < 20 THEN 'expired' ELSE 'hit' END AS state, minute, n.page_id
+    FROM (SELECT DISTINCT canon AS url FROM base) w LEFT JOIN newest n USING (url)""",
+)
+def cache_ttl(spark, sf):
+    light = T.addresses(spark, sf).select(F.col("canon").alias("url"), "page_id")
+    minutes = F.when(F.col("page_id") % 3 == 0, F.array(F.col("page_id") % 100, F.col("page_id") * 7 % 100)).otherwise(F.array(F.col("page_id") % 100))
+    cached = light.withColumn("minute", F.explode(minutes))
+    cached = cached.select("url", F.timestamp_seconds(F.lit(START) + F.col("minute") * 60).alias("fetched_at"), "page_id")
+    state = fetched_source.cache_state(light.select("url").distinct(), cached, F.timestamp_seconds(F.lit(START + 3600)), 2400)
+    minute = ((F.unix_timestamp("fetched_at") - START) / 60).cast("long").alias("minute")
+    return state.select("url", "state", minute, "page_id")
+
+
+# --- strategies and dumps --------------------------------------------------------------------------
+
+
+def strategy_table(spark):
+    """The six strategies and a seventh as rows."""
+    rows = [(i, *s) for i, s in enumerate((*extract.STRATEGIES, extract.Strategy("tables_and_links", tables=True, links=True)))]
+    return spark.createDataFrame(rows, "ord int, name string, recall boolean, tables boolean, links boolean, comments boolean")
+
+
+@query(
+    "strategy_rows",
+    f"{STRATEGY_SQL} UNION ALL SELECT page_id, 'tables_and_links' AS strategy, {_rich_text('art', tables=True, with_links=True)} AS text FROM cut",
+)
+def strategy_rows(spark, sf):
+    parts = extract.with_page_parts(T.rich_pages(spark, sf).select("page_id", "html"))
+    each = extract.texts_of_strategies(F.col("segments"), extract.strategy_array(strategy_table(spark)))
+    return parts.select("page_id", F.inline(each))
+
+
+@query("write_dump_parts", ORACLES["write_dump"])
+def write_dump_parts(spark, sf):
+    """Write the Markdown dumps of all sites into parts of bounded size and read back the size of each dump."""
+    result = run(spark, sf)
+    chunks = sites.site_chunks("md", result.sites, result.sitemap, result.pages, result.skipped, RUN)
+    path = shared_path(spark)
+    sites.write_dump_parts(chunks, result.sites, path, "md", part_bytes=100_000)
+    delete_at_exit(spark, path)
+    pieces = sites.read_dump_parts(spark, path)
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return pieces.groupBy("dump").agg(F.sum(lines).cast("long").alias("lines"), F.sum(F.length("content")).alias("chars"))
