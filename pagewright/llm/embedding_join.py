@@ -191,11 +191,12 @@ def _sequence(classes: DataFrame, eps: float, directions: int, sample: int, bloc
     numbered = materialize(ordered.withColumn("_number", F.monotonically_increasing_id()))
     part, number = F.shiftright("_number", 33), F.col("_number").bitwiseAND((1 << 33) - 1)
     numbered = numbered.withColumns({"part": part, "turn": number})
-    sizes = numbered.groupBy("part").agg(F.ceil((F.max("turn") + 1) / per_block).alias("blocks"))
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(F.col("part").alias("own"), F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("before"))
-    joined = numbered.join(F.broadcast(firsts), F.col("part") == F.col("own"))
-    block = (F.col("before") + F.floor(F.col("turn") / per_block)).cast("long")
+    firsts = sizes.select(F.col("part").alias("own"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    joined = numbered.join(F.broadcast(firsts), F.col("part") == F.col("own")).withColumn("turn", F.col("before") + F.col("turn"))
+    # Blocks go on from one partition to the next, so their number depends on the number of classes alone.
+    block = F.floor(F.col("turn") / per_block).cast("long")
     return materialize(joined.select("key", "first", "copies", "vec", "at", "turn", block.alias("block")))
 
 
