@@ -51,17 +51,23 @@ class Rule:
 
 INF = float("inf")
 PRIOR = (0.05, 0.95)
+# Narrow limits on purpose: a rule may err often and overlap with others, as no single vote decides.
 RULES = (
-    Rule("length", "cast(n_words as double)", (40, INF), (20, INF), "true"),
-    Rule("symbols", "n_symbols / word_chars", (0, 0.01), (0, 0.08)),
-    Rule("word_length", "word_chars / n_words", (3, 9), (2.5, 12)),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", (0, 0.05), (0, 0.3), "n_words >= 20 and n_lines >= 3"),
-    Rule("repeated_windows", "n_repeat_words / n_words", (0, 0.05), (0, 0.25)),
-    Rule("capitals", "n_upper / word_chars", (0, 0.12), (0, 0.4)),
-    Rule("letters", "n_letters / word_chars", (0.88, 1), (0.72, 1)),
-    Rule("wordless", "n_wordless / n_words", (0, 0.03), (0, 0.15)),
-    Rule("digits", "n_digits / word_chars", (0, 0.08), (0, 0.25)),
-    Rule("sentence_ends", "n_ends / n_lines", (0.3, 1), (0.02, 1)),
+    Rule("length", "cast(n_words as double)", (100, INF), (40, INF), "true"),
+    Rule("symbols", "n_symbols / word_chars", (0, 0.005), (0, 0.03)),
+    Rule("symbol_words", "n_symbols / n_words", (0, 0.02), (0, 0.1)),
+    Rule("word_length", "word_chars / n_words", (3.5, 8), (3, 10)),
+    Rule("short_words", "n_short / n_words", (0.15, 0.55), (0.05, 0.7)),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", (0, 0.05), (0, 0.2), "n_words >= 20 and n_lines >= 3"),
+    Rule("repeated_windows", "n_repeat_words / n_words", (0, 0.05), (0, 0.15)),
+    Rule("distinct_words", "n_distinct / n_words", (0.5, 1), (0.35, 1), "n_words between 20 and 1000"),
+    Rule("capitals", "n_upper / word_chars", (0, 0.08), (0, 0.2)),
+    Rule("letters", "n_letters / word_chars", (0.93, 1), (0.85, 1)),
+    Rule("mostly_letters", "n_letters / word_chars", (0.96, 1), (0.93, 1)),
+    Rule("wordless", "n_wordless / n_words", (0, 0.01), (0, 0.05)),
+    Rule("digits", "n_digits / word_chars", (0, 0.03), (0, 0.1)),
+    Rule("sentence_ends", "n_ends / n_lines", (0.6, 1), (0.2, 1)),
+    Rule("sentence_length", "n_words / (n_sentences + 1)", (4, 40), (2, 80)),
 )
 
 
@@ -121,6 +127,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         count(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         count(_covered(F.col("grams"))).alias("n_repeat_words"),
         count(F.size("lines")).alias("n_lines"),
+        count(F.size(F.array_distinct("words"))).alias("n_distinct"),
+        count(F.size(F.filter("words", lambda w: F.length(w) <= 3))).alias("n_short"),
+        count(F.regexp_count("text", F.lit(r"[.!?][\x20\x09-\x0D]"))).alias("n_sentences"),
         count(F.regexp_count("text", F.lit(r"\p{L}"))).alias("n_letters"),
         count(F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]++(?![^\x20\x09-\x0D])"))).alias("n_wordless"),
         count(F.regexp_count("text", F.lit(r"\p{Lu}"))).alias("n_upper"),
@@ -140,10 +149,11 @@ class Accuracy:
     good: float
     bad: float
 
-    # A rule seldom condemns a good text, but no single rule finds every bad one. Within these limits a bad
-    # vote always counts against a text and a good vote for it, so the classes cannot change places.
-    GOOD = (0.99, 0.9999)
-    BAD = (0.1, 0.95)
+    # Wide limits, which only keep probabilities away from 0 and 1.
+    GOOD = (0.5, 0.9999)
+    BAD = (0.02, 0.98)
+    #: A bad vote is at least so many times as likely on bad texts as on good ones, so the classes cannot change places.
+    ANCHOR = 1.2
 
 
 def posterior(rules: tuple[Rule, ...], prior: float, accuracies: dict[str, Accuracy]) -> Column:
@@ -202,7 +212,11 @@ def _iteration(patterns: Column, state: Column) -> Column:
             by_rule(state["bad"], lambda x: x["n"] - x["good"], 0, Accuracy.BAD).alias("bad"),
         )
 
-    return let(let(weights, counted), updated)
+    def anchored(state: Column) -> Column:
+        least = lambda good: F.least(F.lit(Accuracy.BAD[1]), (1 - good) * Accuracy.ANCHOR)
+        return state.withField("bad", F.zip_with(state["good"], state["bad"], lambda g, b: F.greatest(b, least(g))))
+
+    return let(let(let(weights, counted), updated), anchored)
 
 
 def estimate(
@@ -210,14 +224,14 @@ def estimate(
 ) -> tuple[float, dict[str, Accuracy]]:
     """Share of good texts and accuracies of each rule by expectation-maximisation over all rows of ``votes``.
 
-    Rows are first counted by vote pattern. There are at most 3 ** len(rules) patterns however large the
-    corpus is, so all iterations run as one expression over the array of them.
+    Rows are first counted by vote pattern. How many patterns there are depends on the rules, not on the size of the corpus (the rules here: some
+    hundreds), so all iterations run as one expression over the array of them.
     """
     array = F.array(*[F.coalesce(F.col(f"vote_{r.name}"), F.lit(-1)) for r in rules])
     counts = votes.groupBy(array.alias("votes")).agg(F.count("*").cast("double").alias("n"))
     patterns = counts.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
     repeat = lambda x: F.array_repeat(F.lit(x), len(rules))
-    start = F.struct(F.lit(0.8).alias("prior"), repeat(0.995).alias("good"), repeat(0.4).alias("bad"))
+    start = F.struct(F.lit(0.8).alias("prior"), repeat(0.95).alias("good"), repeat(0.4).alias("bad"))
     steps = F.sequence(F.lit(1), F.lit(iterations))
     end = F.aggregate(steps, start, lambda state, _: _iteration(F.col("patterns"), state))
     row = patterns.select(end.alias("end")).first()["end"]
