@@ -47,21 +47,29 @@ SELECT doc_id, source, round(rate, 9) AS rate, copies, copy, md5(text) AS text_m
 FROM copied
 """
 
-_STRICT = ", ".join(f"'{t}'" for t in sorted(url_filter.STRICT))
-_SOFT = ", ".join(f"'{t}'" for t in sorted(url_filter.SOFT))
-_HIT = "lambda t: regexp_matches(whole, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')"
+
+
+def _found(terms) -> str:
+    """List of the terms that are whole words of ``whole``; constant patterns are compiled once."""
+    border = r"[^\p{L}\p{N}]"
+    hits = [f"CASE WHEN regexp_matches(whole, '(^|{border}){t}($|{border})') THEN '{t}' END" for t in sorted(terms)]
+    return f"list_filter([{', '.join(hits)}], lambda t: t IS NOT NULL)"
+
+
+_WEIGHT = ", ".join(f"('{t}', {w})" for t, w in sorted(url_filter.SOFT.items()))
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_filter.RULES)
 
-# Every soft term weighs 1.
 URL_VOCABULARY = f"""
 WITH cut AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
     SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host,
-        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, lower(regexp_extract(rest, '^[^#]*')) AS whole
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, lower(url_decode(translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) || regexp_extract(rest, '^[^/?#]*([^#]*)', 1))) AS whole
     FROM cut
 ), terms AS (
-    SELECT *, list_filter([{_STRICT}], {_HIT}) AS strict, list_filter([{_SOFT}], {_HIT}) AS soft FROM parts
+    SELECT *, {_found(url_filter.STRICT)} AS strict, {_found(url_filter.SOFT)} AS soft FROM parts
+), weighed AS (
+    SELECT page_id, sum(w) AS weight FROM (SELECT page_id, unnest(soft) AS t FROM terms) JOIN (VALUES {_WEIGHT}) AS known(t, w) USING (t) GROUP BY page_id
 ), fits AS (
     SELECT page_id, arg_max(v, length(h || p)) AS verdict, arg_max(h || p, length(h || p)) AS rule
     FROM parts JOIN (VALUES {_RULES}) AS r(v, h, p)
@@ -69,9 +77,9 @@ WITH cut AS (
     GROUP BY page_id
 )
 SELECT page_id, host, path, rule,
-    coalesce(verdict, CASE WHEN len(strict) > 0 OR len(soft) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-    array_to_string(strict, ',') AS strict_terms, array_to_string(soft, ',') AS soft_terms, len(soft)::DOUBLE AS soft_weight
-FROM terms LEFT JOIN fits USING (page_id)
+    coalesce(verdict, CASE WHEN len(strict) > 0 OR coalesce(weight, 0) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+    array_to_string(strict, ',') AS strict_terms, array_to_string(soft, ',') AS soft_terms, coalesce(weight, 0)::DOUBLE AS soft_weight
+FROM terms LEFT JOIN fits USING (page_id) LEFT JOIN weighed USING (page_id)
 """
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {}) & 31)::INTEGER + 1, 1)"
