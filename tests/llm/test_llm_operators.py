@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out labels."""
 
+import dataclasses
 import functools
 import hashlib
 import math
@@ -270,8 +271,50 @@ def test_index_is_reversible(spark):
     kept = lambda i: {r["doc"]["doc_id"]: r["kept"] for r in line_dedup.kept_text(i.clean(first)).collect()}
     assert kept(both) == {0: "b\n\nb", 1: "", 2: "", 3: ""}
     assert kept(both.delete(second)) == {0: "b\n\nb", 1: "c", 2: "", 3: ""}
-    large = line_dedup.LineIndex(refs=both.refs, filters=both.filters, min_docs=3, filter_bytes=0)
-    assert kept(large) == kept(both)
+    assert not {f.name for f in dataclasses.fields(line_dedup.LineIndex)} & {"filter_bytes"}
+
+
+def held_filters(index):
+    return {r["shard"]: line_dedup.CuckooFilter.from_bytes(bytes(r["data"])) for r in index.filters.collect()}
+
+
+def test_filters_change_in_place_with_the_counts(spark):
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(30)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    of = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = line_dedup.LineIndex(min_docs=3, shards=4).insert(of(rows[:20]))
+    for step in (lambda x: x.insert(of(rows[20:50])), lambda x: x.delete(of(rows[5:30])), lambda x: x.insert(of(rows[50:])), lambda x: x.delete(of(rows[:5]))):
+        index = step(index)
+        made, hashed = held_filters(index), index._sharded(index.refs).collect()
+        elements = Counter(r["shard"] for r in hashed if r["n_docs"] >= 3)
+        # No common key is missing, and what was taken out is gone: each filter has one mark for each common key.
+        assert {s: np.count_nonzero(f.table) + len(f.rest) for s, f in made.items() if f.table.any() or f.rest} == elements
+        for r in hashed:
+            if r["n_docs"] >= 3:
+                assert made[r["shard"]].contains(np.array([r["hash"]]))[0]
+    left = [r for r in rows[30:]]
+    plain = line_dedup.LineIndex(min_docs=3, shards=4).insert(of(left))
+    assert sorted((bytes(r["key"]), r["n_docs"]) for r in plain.refs.collect()) == sorted((bytes(r["key"]), r["n_docs"]) for r in index.refs.collect())
+    kept = lambda x: sorted((r["doc"]["doc_id"], r["kept"]) for r in line_dedup.kept_text(x.clean(of(rows))).collect())
+    assert kept(index) == kept(plain)
+
+
+def test_a_full_filter_is_made_anew(spark):
+    of = lambda n, k: spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(k))) for i in n], "doc_id long, text string")
+    index = line_dedup.LineIndex(min_docs=2, shards=2).insert(of(range(2), 3)).insert(of(range(10, 12), 4000))
+    made = held_filters(index)
+    assert sum(np.count_nonzero(f.table) for f in made.values()) == 4000 and not any(f.rest for f in made.values())
+    assert max(f.load for f in made.values()) <= line_dedup.FULL
+
+
+def test_cleaning_is_linear_in_the_lines(spark):
+    lines = [f"line {i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i:])) for i in range(3)], "doc_id long, text string")
+    begun = time.perf_counter()
+    rows = {r["doc"]["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs, 3).collect()}
+    assert rows == {0: (60_000, 59_998, "line 0\nline 1"), 1: (59_999, 59_998, "line 1"), 2: (59_998, 59_998, "")}
+    assert time.perf_counter() - begun < 30
 
 
 def test_cuckoo_filter_forgets_nothing():
