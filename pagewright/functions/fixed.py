@@ -58,3 +58,6 @@ NO_TEXT_WARNING = "No extraction strategy returned text."
 METADATA_CANDIDATE = "bare_extraction"
 API_CANDIDATE = "apiary_embed_json"
 API_EMBED_MARK = "Apiary.Embed"
+
+# Where a configuration that is no JSON names its API description: which pages have one depends on this exact pattern.
+API_SUBDOMAIN = r"""["']?subdomain["']?\s*:\s*["']([^"']+)["']"""

@@ -78,7 +78,7 @@ def slugify(value: Column, max_len: int = 80, fallback: str = "page") -> Column:
 def file_extension(fmt: str) -> str:
     fmt = fmt.lower()
     if fmt not in ("md", "markdown", "json", "xml"):
-        raise ValueError("format must be one of: md, markdown, json, xml")
+        raise ValueError(f"unknown dump format {fmt!r}")
     return "md" if fmt == "markdown" else fmt
 
 
