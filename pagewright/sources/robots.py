@@ -2,62 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.binding import running
 from pagewright.functions.text import split_lines, strip
 from pagewright.functions.urls import lenient_unquote
 
 _RULES = ("allow", "disallow", "crawl-delay", "request-rate")
+_STATE = "struct<group_no:int,open:boolean,after_agent:boolean,agents:array<string>>"
 
 
 def read_robots(documents: DataFrame) -> DataFrame:
     """(host_key, group_no, rule_no, agents, field, path) of robots files (host_key, body).
 
     A group starts at the first user-agent line after rules, after an empty line or at the top. Rules
-    behind an empty line without a new user-agent line belong to no group. Windows run over the lines
-    of one file.
+    behind an empty line without a new user-agent line belong to no group. A projection: the lines of a file are walked in its
+    own row, with the group that is open as the state.
     """
     body = F.replace("body", F.lit("\r\n"), F.lit("\n"))
-    lines = documents.select("host_key", F.posexplode(split_lines(body)).alias("line_no", "line"))
-    content = strip(F.substring_index("line", "#", 1))
-    pair = lines.select(
-        "host_key",
-        "line_no",
-        F.when(content.contains(":"), F.lower(strip(F.substring_index(content, ":", 1))))
-        .otherwise("")
-        .alias("field"),
-        lenient_unquote(strip(F.regexp_replace(content, "(?s)^[^:]*:?", "")), False).alias("value"),
-        (F.col("line") == "").alias("blank"),
-    )
-    is_agent = F.col("field") == "user-agent"
-    is_rule = F.col("field").isin(*_RULES)
-    events = pair.where(F.col("blank") | is_agent | is_rule)
-    whole = Window.partitionBy("host_key").orderBy("line_no")
-    before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        events.withColumn("after_agent", F.coalesce(F.lag(is_agent).over(whole), F.lit(False)))
-        .withColumn("last_agent", F.max(F.when(is_agent, F.col("line_no"))).over(before))
-        .withColumn("last_blank", F.max(F.when(F.col("blank"), F.col("line_no"))).over(before))
-        .withColumn("opens", (is_agent & ~F.col("after_agent")).cast("int"))
-        .withColumn("group_no", F.sum("opens").over(so_far))
-    )
-    in_group = F.col("last_agent").isNotNull() & (
-        F.col("last_blank").isNull() | (F.col("last_agent") > F.col("last_blank"))
-    )
-    agents = F.collect_list(F.when(is_agent, F.lower("value"))).over(
-        Window.partitionBy("host_key", "group_no")
-    )
-    return (
-        numbered.withColumn("agents", agents)
-        .where(is_rule & in_group)
-        .select(
-            "host_key",
-            F.col("group_no").cast("int").alias("group_no"),
-            F.col("line_no").alias("rule_no"),
-            "agents",
-            "field",
-            F.col("value").alias("path"),
+
+    def event(line: Column, number: Column) -> Column:
+        content = strip(F.substring_index(line, "#", 1))
+        field = F.when(content.contains(":"), F.lower(strip(F.substring_index(content, ":", 1)))).otherwise("")
+        return F.struct(
+            number.alias("line_no"), field.alias("field"), content.alias("content"), (line == "").alias("blank")
         )
+
+    events = F.filter(
+        F.transform(split_lines(body), event),
+        lambda e: e["blank"] | (e["field"] == "user-agent") | e["field"].isin(*_RULES),
     )
+    value = lenient_unquote(strip(F.regexp_replace("content", "(?s)^[^:]*:?", "")), False)
+
+    def step(state: Column, e: Column) -> Column:
+        agent = e["field"] == "user-agent"
+        opens = agent & ~state["after_agent"]
+        name = F.lower(lenient_unquote(strip(F.regexp_replace(e["content"], "(?s)^[^:]*:?", "")), False))
+        return F.struct(
+            (state["group_no"] + opens.cast("int")).alias("group_no"),
+            F.when(agent, F.lit(True)).when(e["blank"], F.lit(False)).otherwise(state["open"]).alias("open"),
+            agent.alias("after_agent"),
+            F.when(opens, F.array(name)).when(agent, F.array_append(state["agents"], name)).otherwise(state["agents"]).alias("agents"),
+        )
+
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).alias("group_no"), F.lit(False).alias("open"), F.lit(False).alias("after_agent"), none.alias("agents"))
+    states = running(F.col("events"), begin, step, lambda s: s, _STATE)
+    walked = documents.select("host_key", events.alias("events")).select("host_key", F.arrays_zip("events", states.alias("states")).alias("zipped"))
+    rules = walked.select("host_key", F.explode("zipped").alias("z")).where(F.col("z.states.open") & F.col("z.events.field").isin(*_RULES))
+    return rules.select(
+        "host_key",
+        F.col("z.states.group_no").alias("group_no"),
+        F.col("z.events.line_no").alias("rule_no"),
+        F.col("z.states.agents").alias("agents"),
+        F.col("z.events.field").alias("field"),
+        F.col("z.events.content").alias("content"),
+    ).withColumn("path", value).drop("content")

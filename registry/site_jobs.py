@@ -39,6 +39,13 @@ def crawl_delay(spark, sf):
     return pacing.crawl_schedule(T.entries(spark, sf), pacing.robots_delays(rules, "pagewright"), F.lit(1.5))
 
 
+@query("robots_index", f"WITH {S.ENTRIES} SELECT site_id, url, {S.ALLOWED} AS allowed FROM entries")
+def robots_index(spark, sf):
+    files = T.robots_files(spark, sf)
+    entries = T.entries(spark, sf).select("site_id", "url")
+    return robots.with_indexed_verdict(entries, files, robots_source.read_robots(files), "Pagewright/1.0")
+
+
 # --- skips -----------------------------------------------------------------------------------------
 
 

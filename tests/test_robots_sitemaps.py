@@ -24,6 +24,8 @@ def test_robots_equals_standard_library(spark):
     by_host = operators.robots_by_host(documents, robots.read_robots(documents), "pagewright/1.0")
     got = {r["url"]: r["allowed"] for r in operators.with_robots_verdict(urls, by_host).collect()}
     assert len(got) == len(hosts) * len(PATHS)
+    indexed = operators.with_indexed_verdict(urls, documents, robots.read_robots(documents), "pagewright/1.0")
+    assert {r["url"]: r["allowed"] for r in indexed.collect()} == got
     for host, body in zip(hosts, bodies):
         parser = urllib.robotparser.RobotFileParser()
         parser.parse(body.splitlines())
@@ -32,6 +34,17 @@ def test_robots_equals_standard_library(spark):
     assert not got["https://no.e/a"] and got["https://gone.e/a"] and got["https://silent.e/a"]
 
 
+def test_a_file_with_very_many_rules(spark):
+    lines = [f"{'Allow' if i % 3 else 'Disallow'}: /{'x' * (i % 7)}{i}" for i in range(100_000)]
+    documents = spark.createDataFrame([("https://h.e:", 200, "User-agent: *\n" + "\n".join(lines))], "host_key string, status int, body string")
+    urls = [f"https://h.e/{'x' * (i % 7)}{i}/page" for i in range(0, 100_000, 3331)] + ["https://h.e/", "https://o.e/0"]
+    rules = robots.read_robots(documents)
+    got = {r["url"]: r["allowed"] for r in operators.with_indexed_verdict(spark.createDataFrame([(u,) for u in urls], "url string"), documents, rules, "any").collect()}
+    parsed = [(x.split(": ")[1], x[0] == "A") for x in lines]
+    want = {u: next((allow for path, allow in parsed if u[11:].startswith(path)), True) if u.startswith("https://h.e") else True for u in urls}
+    assert got == want and not all(got.values())
+
+
 def xml(urls, children):
     if urls:
         return f"<urlset {NAMESPACE}>" + "".join(f"<url><loc> {u}\n</loc></url>" for u in urls) + "</urlset>"
