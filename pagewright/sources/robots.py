@@ -25,20 +25,19 @@ def read_robots(documents: DataFrame) -> DataFrame:
     def event(line: Column, number: Column) -> Column:
         content = strip(F.substring_index(line, "#", 1))
         field = F.when(content.contains(":"), F.lower(strip(F.substring_index(content, ":", 1)))).otherwise("")
+        value = lenient_unquote(strip(F.regexp_replace(content, "(?s)^[^:]*:?", "")), False)
         return F.struct(
-            number.alias("line_no"), field.alias("field"), content.alias("content"), (line == "").alias("blank")
+            number.alias("line_no"), field.alias("field"), value.alias("value"), (line == "").alias("blank")
         )
 
     events = F.filter(
         F.transform(split_lines(body), event),
         lambda e: e["blank"] | (e["field"] == "user-agent") | e["field"].isin(*_RULES),
     )
-    value = lenient_unquote(strip(F.regexp_replace("content", "(?s)^[^:]*:?", "")), False)
 
     def step(state: Column, e: Column) -> Column:
         agent = e["field"] == "user-agent"
-        opens = agent & ~state["after_agent"]
-        name = F.lower(lenient_unquote(strip(F.regexp_replace(e["content"], "(?s)^[^:]*:?", "")), False))
+        opens, name = agent & ~state["after_agent"], F.lower(e["value"])
         return F.struct(
             (state["group_no"] + opens.cast("int")).alias("group_no"),
             F.when(agent, F.lit(True)).when(e["blank"], F.lit(False)).otherwise(state["open"]).alias("open"),
@@ -57,5 +56,5 @@ def read_robots(documents: DataFrame) -> DataFrame:
         F.col("z.events.line_no").alias("rule_no"),
         F.col("z.states.agents").alias("agents"),
         F.col("z.events.field").alias("field"),
-        F.col("z.events.content").alias("content"),
-    ).withColumn("path", value).drop("content")
+        F.col("z.events.value").alias("path"),
+    )
