@@ -225,8 +225,8 @@ class LineIndex:
     def keys(self, docs: DataFrame) -> DataFrame:
         """Distinct doc_id and key of all lines that have a key."""
         long_enough = F.filter(_lines(F.col("text")), lambda x: F.length(normal_form(x)) >= self.min_chars)
-        keys = F.array_distinct(F.transform(long_enough, _digest))
-        return docs.select("doc_id", F.explode(keys).alias("key")).dropDuplicates()
+        # Repeats go in the aggregate: distinct binary values of one array would be found by comparing them all.
+        return docs.select("doc_id", F.explode(F.transform(long_enough, _digest)).alias("key")).dropDuplicates()
 
     def changed(self, keys: DataFrame, sign: int) -> LineIndex:
         """The index with the ``keys`` of documents added (1) or taken out (-1)."""
