@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.workers import lean
 from pagewright.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -244,7 +245,7 @@ class LineIndex:
         refs = both.where("n_docs <> 0").select("key", "n_docs")
         was, now = F.col("old") >= self.min_docs, F.col("n_docs") >= self.min_docs
         crossing = both.where(was != now).select("key", F.when(now, 1).otherwise(-1).alias("change"))
-        updated = materialize(self._beside_filters(crossing).mapInArrow(_update, "shard long, data binary, full boolean"))
+        updated = materialize(self._beside_filters(crossing).mapInArrow(lean(_update), "shard long, data binary, full boolean"))
         made = replace(self, refs=refs)
         again = updated.where("full").select("shard")
         rebuilt = made._built(refs.where(F.col("n_docs") >= self.min_docs), again)
@@ -279,7 +280,7 @@ class LineIndex:
 
     def _screened(self, keys: DataFrame) -> DataFrame:
         """The distinct ``keys`` that the filters cannot rule out."""
-        return self._beside_filters(keys).mapInArrow(_screen, "key binary")
+        return self._beside_filters(keys).mapInArrow(lean(_screen), "key binary")
 
 
 @F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))

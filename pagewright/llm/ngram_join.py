@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.components import components
+from pagewright.llm.workers import lean
 from pagewright.storage import materialize
 
 #: Odd numbers that spread products over 64 bits.
@@ -110,7 +111,7 @@ def _sets(docs: DataFrame, join: Join) -> DataFrame:
                     names=["doc_id", "n", "digest", "sample"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sample array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, digest binary, sample array<long>")
 
 
 def _partnered(sets: DataFrame, join: Join) -> DataFrame:
@@ -147,7 +148,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
     names = ["id", "n", "tokens", "second", "third", "parity"]
     schema = "id long, n long, tokens array<long>, second array<int>, third array<int>, parity array<long>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _postings(whole: DataFrame, join: Join) -> DataFrame:

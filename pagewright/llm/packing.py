@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.workers import lean
 from pagewright.storage import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -245,7 +246,7 @@ def pack(
         if out:
             yield batch_of(out)
 
-    written = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema))
+    written = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema))
     result = [written.where(~F.col("is_open"))]
     left, turn = written.where("is_open"), 1
     while True:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.sampling import bounded_sample
+from pagewright.llm.workers import lean
 from pagewright.storage import materialize
 
 # Our own word lists, lower-case, whole words.
@@ -96,7 +97,7 @@ class TextFeatures:
         self.weights: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        if len(self.weights) > 500_000:
+        if len(self.weights) > 100_000:
             self.weights.clear()
         found = self.weights.get(word)
         if found is None:
@@ -209,7 +210,7 @@ def features(docs: DataFrame, lexicons: list[Lexicon] | None = None) -> DataFram
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(["fold", "label", "turn"] if folded else []))
     more = "fold int, label double, turn long, " if folded else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, {more}features array<double>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, {more}features array<double>")
 
 
 def lexicons(sample: DataFrame) -> list[Lexicon]:
@@ -226,7 +227,7 @@ def lexicons(sample: DataFrame) -> list[Lexicon]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *marks], names=["term", "label", "fold"])
 
     sizes = {(r["label"], r["fold"]): r["count"] for r in sample.groupBy("label", "fold").count().collect()}
-    words = sample.select("text", "label", "fold").mapInArrow(run, "term string, label double, fold int")
+    words = sample.select("text", "label", "fold").mapInArrow(lean(run), "term string, label double, fold int")
     of = lambda label, fold: F.count_if((F.col("label") == label) & (F.col("fold") == fold))
     cells = [(label, fold) for label in (1.0, 0.0) for fold in range(FOLDS)]
     counts = words.groupBy("term").agg(*[of(label, fold).alias(f"n{int(label)}_{fold}") for label, fold in cells])
