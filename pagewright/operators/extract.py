@@ -246,10 +246,6 @@ def page_candidates(
     return with_candidates(with_page_parts(fetched), min_text_chars, strategies)
 
 
-def _with_best(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("best", best_candidate("tried"))
-
-
 def build_page_docs(
     fetched: DataFrame,
     min_text_chars: int = fixed.MIN_TEXT_CHARS,
@@ -265,12 +261,20 @@ def build_page_docs(
     from pagewright.operators import api
 
     extra = [c for c in fetched.columns if c not in ("url", "fetched_url", "status", "content_type", "html")]
-    if api_candidates is not None:
-        fetched = fetched.withColumn("subdomain", api.find_api_subdomain("html"))
-    frame = _with_best(page_candidates(fetched, min_text_chars, strategies))
-    if api_candidates is not None:
-        frame = api.with_api_fallback(frame, api_candidates, min_text_chars)
-        frame = _with_best(frame.drop("best"))
+
+    def judged(pages: DataFrame) -> DataFrame:
+        """Only the best candidate and the attempt log go on, not the texts that were tried."""
+        frame = page_candidates(pages, min_text_chars, strategies)
+        return frame.withColumns({"best": best_candidate("tried"), "attempts": attempt_log("tried")}).drop("tried")
+
+    if api_candidates is None:
+        frame = judged(fetched)
+    else:
+        # Pages without an embedded description never meet the join.
+        subdomain = api.find_api_subdomain("html")
+        embedding = judged(fetched.where(subdomain.isNotNull()).withColumn("subdomain", subdomain))
+        plain = judged(fetched.where(subdomain.isNull()))
+        frame = plain.unionByName(api.with_api_fallback(embedding, api_candidates, min_text_chars))
     best, meta = F.col("best"), F.col("meta")
     stamp = extracted_at if extracted_at is not None else utc_now_iso()
     return frame.select(
@@ -280,7 +284,7 @@ def build_page_docs(
         stamp.alias("extracted_at"),
         *[backfilled(best, meta, name).alias(name) for name in META_FIELDS],
         F.coalesce(best["text"], F.lit("")).alias("text"),
-        attempt_log("tried").alias("extraction_attempts"),
+        F.col("attempts").alias("extraction_attempts"),
         short_text_warnings(best["text"], min_text_chars).alias("warnings"),
     )
 

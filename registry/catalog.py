@@ -858,6 +858,11 @@ def known_apis(spark, sf):
     return api.api_candidates(api.read_api_payloads(T.api_documents(spark, sf)))
 
 
+def embedded_apis(spark, sf):
+    documents = api.embedded_documents(T.api_documents(spark, sf), T.widget_pages(spark, sf))
+    return api.api_candidates(api.read_api_payloads(documents))
+
+
 @query("api_payload_text", f"WITH {API_SQL} SELECT subdomain, title AS api_title, text AS api_text FROM api")
 def api_payload_text(spark, sf):
     return known_apis(spark, sf)
@@ -871,9 +876,9 @@ def api_payload_text(spark, sf):
 )
 def api_payload_join(spark, sf):
     pages = T.widget_pages(spark, sf).withColumn("subdomain", api.find_api_subdomain("html"))
-    best = extract.page_candidates(pages, 900).withColumn("best", extract.best_candidate("tried"))
-    short = best.where(api.needs_api(F.col("best"), 900) & F.col("subdomain").isNotNull())
-    return short.select("page_id", "subdomain").join(known_apis(spark, sf).drop("api_text"), "subdomain")
+    best = extract.page_candidates(pages.where(F.col("subdomain").isNotNull()), 900).withColumn("best", extract.best_candidate("tried"))
+    short = best.where(api.needs_api(F.col("best"), 900))
+    return short.select("page_id", "subdomain").join(embedded_apis(spark, sf).drop("api_text"), "subdomain")
 
 
 @query(
@@ -893,7 +898,7 @@ def api_payload_join(spark, sf):
     ),
 )
 def api_fallback(spark, sf):
-    frame = extract.build_page_docs(T.widget_pages(spark, sf), 900, known_apis(spark, sf), stamp())
+    frame = extract.build_page_docs(T.widget_pages(spark, sf), 900, embedded_apis(spark, sf), stamp())
     return frame.select("page_id", attempts_text(F.col("extraction_attempts")).alias("attempts"), F.col("text").alias("best_text"))
 
 
