@@ -659,7 +659,7 @@ def depth_lookup(spark, sf):
 
 @query(
     "meta_backfill",
-    f"WITH {S.docs()} SELECT page_id, title, NULL::VARCHAR AS subtitle, NULL::VARCHAR AS author, language FROM docs",
+    f"WITH {S.docs()} SELECT page_id, title, subtitle, author, language FROM docs",
 )
 def meta_backfill(spark, sf):
     return docs(spark, sf).select("page_id", "title", "subtitle", "author", "language")
@@ -670,7 +670,7 @@ def meta_backfill(spark, sf):
 
 @functools.lru_cache(maxsize=None)
 def docs(spark, sf, **options):
-    return extract.build_page_docs(T.fetched(spark, sf), extracted_at=stamp(), **options)
+    return extract.build_page_docs(T.described(T.fetched(spark, sf)), extracted_at=stamp(), **options)
 
 
 def attempts_text(attempts) -> F.Column:
@@ -775,7 +775,7 @@ def strategy_cross(spark, sf):
 
 @functools.lru_cache(maxsize=None)
 def tried(spark, sf, min_chars=MIN_CHARS):
-    return extract.page_candidates(T.fetched(spark, sf), min_chars)
+    return extract.page_candidates(T.described(T.fetched(spark, sf)), min_chars)
 
 
 def exploded(frame):
@@ -791,10 +791,10 @@ def strategy_ladder(spark, sf):
     return exploded(tried(spark, sf, 900)).select("page_id", "turn", "candidate.strategy", "candidate.text")
 
 
-@query("bare_metadata", f"WITH {S.texts()} SELECT page_id, title, NULL::VARCHAR AS subtitle, NULL::VARCHAR AS date_published, lang AS language, t_recall AS text FROM texts")
+@query("bare_metadata", f"WITH {S.texts()} SELECT page_id, title, subtitle, author, date_published, lang AS language, t_recall AS text FROM texts")
 def bare_metadata(spark, sf):
     candidate = F.get(F.filter("tried", lambda c: c["strategy"] == fixed.METADATA_CANDIDATE), F.lit(0))
-    fields = ("title", "subtitle", "date_published", "language", "text")
+    fields = ("title", "subtitle", "author", "date_published", "language", "text")
     return tried(spark, sf).select("page_id", *[candidate[name].alias(name) for name in fields])
 
 
@@ -907,7 +907,7 @@ def text_length(spark, sf):
     return docs(spark, sf).select("page_id", F.length("text").cast("bigint").alias("text_length"))
 
 
-DOC_COLUMNS = f"url, url AS fetched_url, '{T.STAMP}' AS extracted_at, title, NULL::VARCHAR AS subtitle, NULL::VARCHAR AS author, NULL::VARCHAR AS date_published, language, text"
+DOC_COLUMNS = f"url, url AS fetched_url, '{T.STAMP}' AS extracted_at, title, subtitle, author, date_published, language, text"
 
 
 @query(
@@ -946,7 +946,7 @@ counts AS (
   SELECT s.site_id, s.start_url, (SELECT count(*) FROM sitemap m WHERE m.site_id = s.site_id) AS discovered_urls_count,
     (SELECT count(*) FROM visited v WHERE v.site_id = s.site_id) AS visited_urls_count FROM sites s
 ), {S.docs()}, shown AS (
-  SELECT v.site_id, v.url, d.url AS fetched_url, d.title, d.language, d.text, d.attempts, d.warnings, d.page_id
+  SELECT v.site_id, v.url, d.url AS fetched_url, d.title, d.subtitle, d.author, d.date_published, d.language, d.text, d.attempts, d.warnings, d.page_id
   FROM visited v JOIN docs d USING (page_id)
 )"""
 
@@ -959,7 +959,7 @@ def run(spark, sf, lazy_pages: bool = False) -> jobs.SiteRun:
         T.sites(spark, sf),
         T.entries(spark, sf),
         nothing,
-        T.outcomes(spark, sf),
+        T.described(T.outcomes(spark, sf)),
         RUN,
         "page_id",
         robots=by_host,
@@ -1057,7 +1057,7 @@ ATTEMPT_LINES = "'  - strategy=' || regexp_replace(regexp_replace(replace(attemp
 def _md_block(url: str, fetched: str) -> str:
     return (
         f"'--- PAGEWRIGHT_PAGE ---' || {NL} || 'URL: ' || {url} || {NL} || 'Fetched-URL: ' || {fetched} || {NL} || 'Title: ' || coalesce(title, '') "
-        f"|| {NL} || 'Subtitle: ' || {NL} || 'Language: ' || coalesce(language, '') || {NL} || 'Published: ' || {NL} || 'Extracted-At: {T.STAMP}' || {NL} "
+        f"|| {NL} || 'Subtitle: ' || coalesce(subtitle, '') || {NL} || 'Language: ' || coalesce(language, '') || {NL} || 'Published: ' || coalesce(date_published, '') || {NL} || 'Extracted-At: {T.STAMP}' || {NL} "
         f"|| 'Text-Length: ' || length(text) || {NL} || 'Attempts:' || {NL} || {ATTEMPT_LINES} || {NL} || 'Warnings:' || {NL} "
         f"|| CASE WHEN warnings = '' THEN '-' ELSE '  - ' || warnings END || {NL} || '--- PAGEWRIGHT_TEXT ---' || {NL} || text || {NL} || '--- END_PAGEWRIGHT_PAGE ---'"
     )
@@ -1073,8 +1073,8 @@ def _json_page(url: str, fetched: str) -> str:
         return f"coalesce(to_json({expression})::VARCHAR, 'null')"
 
     return (
-        f"'{{\"author\":null,\"date_published\":null,\"extracted_at\":\"{T.STAMP}\",\"extraction_attempts\":' || {attempts} || "
-        f"',\"fetched_url\":' || {value(fetched)} || ',\"language\":' || {value('language')} || ',\"subtitle\":null,\"text\":' || {value('text')} || "
+        f"'{{\"author\":' || {value('author')} || ',\"date_published\":' || {value('date_published')} || ',\"extracted_at\":\"{T.STAMP}\",\"extraction_attempts\":' || {attempts} || "
+        f"',\"fetched_url\":' || {value(fetched)} || ',\"language\":' || {value('language')} || ',\"subtitle\":' || {value('subtitle')} || ',\"text\":' || {value('text')} || "
         f"',\"title\":' || {value('title')} || ',\"url\":' || {value(url)} || ',\"warnings\":' || CASE WHEN warnings = '' THEN '[]' ELSE '[' || {value('warnings')} || ']' END || '}}'"
     )
 
@@ -1092,7 +1092,7 @@ def _xml_page(url: str, fetched: str) -> str:
     warnings = f"CASE WHEN warnings = '' THEN '<warnings />' ELSE '<warnings>' || {_xml('warning', 'warnings')} || '</warnings>' END"
     return (
         f"'<page>' || {_xml('url', url)} || {_xml('fetched_url', fetched)} || '<extracted_at>{T.STAMP}</extracted_at>' || {_xml('title', 'title')} "
-        f"|| '<subtitle /><author /><date_published />' || {_xml('language', 'language')} || {_xml('text', 'text')} || {attempts} || {warnings} || '</page>'"
+        f"|| {_xml('subtitle', 'subtitle')} || {_xml('author', 'author')} || {_xml('date_published', 'date_published')} || {_xml('language', 'language')} || {_xml('text', 'text')} || {attempts} || {warnings} || '</page>'"
     )
 
 

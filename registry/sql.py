@@ -109,8 +109,14 @@ ALLOWED = """CASE
   ELSE true END"""
 
 
+#: What ``tables.described`` puts in the head of a page; plain pages have none of it, and their queries do not show it.
+DESCRIBED = """CASE WHEN contains(html, '</head>') THEN CASE page_id % 3 WHEN 0 THEN 'About ' || page_id || ' & more' WHEN 1 THEN 'Shared ' || page_id END END AS subtitle,
+    CASE WHEN contains(html, '</head>') THEN CASE page_id % 4 WHEN 0 THEN 'A. ' || page_id WHEN 1 THEN 'Éva ' || page_id END END AS author,
+    CASE WHEN contains(html, '</head>') THEN CASE page_id % 5 WHEN 0 THEN '2025-01-02T03:04:05Z' WHEN 1 THEN '2025-02-03' WHEN 2 THEN '2025-03-04' END END AS date_published"""
+
+
 def texts(source: str = "pages") -> str:
-    """page_id, title, lang, t_default, t_recall of pages with one article and no tables or comments."""
+    """page_id, title, lang, t_default, t_recall of pages with one article and no tables or comments; the fields of described pages."""
     article = f"regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
     outside = "(?is)<title>[^<]*</title>|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)"
     rest = f"regexp_replace(html, '{outside}', ' ' || chr(10) || ' ', 'g')"
@@ -118,6 +124,7 @@ def texts(source: str = "pages") -> str:
   SELECT page_id, url, html,
     nullif({decode("trim(regexp_extract(html, '<title>([^<]*)', 1), " + WHITE + ")")}, '') AS title,
     nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
+    {DESCRIBED},
     {text_of(article)} AS t_default, {text_of(rest)} AS t_recall
   FROM {source}
 )"""
@@ -164,7 +171,9 @@ def docs(min_chars: int = 400, source: str = "pages") -> str:
   SELECT page_id, {ATTEMPTS} AS attempts FROM tried GROUP BY page_id
 ), docs AS (
   SELECT t.page_id, t.url, CASE WHEN b.page_id IS NOT NULL THEN t.title END AS title,
-    CASE WHEN b.page_id IS NOT NULL THEN t.lang END AS language, coalesce(b.text, '') AS text, a.attempts,
+    CASE WHEN b.page_id IS NOT NULL THEN t.lang END AS language,
+    CASE WHEN b.page_id IS NOT NULL THEN t.subtitle END AS subtitle, CASE WHEN b.page_id IS NOT NULL THEN t.author END AS author,
+    CASE WHEN b.page_id IS NOT NULL THEN t.date_published END AS date_published, coalesce(b.text, '') AS text, a.attempts,
     CASE WHEN b.page_id IS NULL THEN 'No extraction strategy returned text.'
          WHEN length(b.text) < {min_chars}
          THEN 'Extracted text length (' || length(b.text) || ') is below threshold ({min_chars}).'

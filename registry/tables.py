@@ -249,3 +249,31 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"><time datetime="2025-10-01">'),
     )
     return fetched(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("<article>"), insert))
+
+
+def described(frame: DataFrame) -> DataFrame:
+    """The pages with a description, author and date in their head: in one of two or three places, blank, or missing."""
+    i, number = F.col("page_id"), F.col("page_id").cast("string")
+
+    def meta(kind: str, key: str, *content) -> F.Column:
+        parts = [F.lit(x) if isinstance(x, str) else x for x in content]
+        return F.concat(F.lit(f'<meta {kind}="{key}" content="'), *parts, F.lit('">'))
+
+    description = (
+        F.when(i % 3 == 0, meta("name", "description", "About ", number, " &amp; more"))
+        .when(i % 3 == 1, meta("property", "og:description", "Shared ", number))
+        .otherwise(meta("name", "description", " "))
+    )
+    author = (
+        F.when(i % 4 == 0, meta("name", "author", "A. ", number))
+        .when(i % 4 == 1, meta("property", "article:author", "&Eacute;va ", number))
+        .otherwise(F.lit(""))
+    )
+    date = (
+        F.when(i % 5 == 0, meta("property", "article:published_time", "2025-01-02T03:04:05Z"))
+        .when(i % 5 == 1, meta("name", "date", "2025-02-03"))
+        .when(i % 5 == 2, F.lit('<time datetime="2025-03-04"></time>'))
+        .otherwise(F.lit(""))
+    )
+    head = F.concat(description, author, date, F.lit("</head>"))
+    return frame.withColumn("html", F.replace(F.col("html"), F.lit("</head>"), head))
