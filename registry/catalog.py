@@ -553,23 +553,27 @@ def _skips(spark, sf):
     return skips
 
 
+FEW = 5
+
+
 @query(
     "bfs_budget",
-    # The queue order is the order of (depth, URLs on the way to the page).
+    # The queue order is the order of (depth, URLs on the way to the page). Every level before a page's own has a page ahead
+    # of it in the queue, so the first n pages of any graph are at most n - 1 links deep; deeper ways are not needed.
     f"""WITH RECURSIVE {S.EDGES}, ways AS (
       SELECT site_id, start_url AS url, 0 AS depth, [start_url] AS way FROM sites
       UNION ALL
       SELECT w.site_id, e.dst, w.depth + 1, list_append(w.way, e.dst) FROM ways w JOIN edges e ON e.src = w.url
-      WHERE w.depth < 4 AND e.dst IN (SELECT canon FROM base) AND NOT list_contains(w.way, e.dst)
+      WHERE w.depth < {FEW - 1} AND e.dst IN (SELECT canon FROM base) AND NOT list_contains(w.way, e.dst)
     ), firsts AS (
       SELECT site_id, url, depth, way FROM ways
       QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY depth, way) = 1
     ), ranked AS (
       SELECT site_id, url, depth::INT AS depth, (row_number() OVER (PARTITION BY site_id ORDER BY depth, way))::INT AS ord FROM firsts
-    ) SELECT * FROM ranked WHERE ord <= 5""",
+    ) SELECT * FROM ranked WHERE ord <= {FEW}""",
 )
 def bfs_budget(spark, sf):
-    params = CrawlParams(max_pages=5, include_external=True, respect_robots=False)
+    params = CrawlParams(max_pages=FEW, include_external=True, respect_robots=False)
     found, _ = crawl.bfs_discover(T.sites(spark, sf), T.edges(spark, sf), T.page_index(spark, sf), params)
     return found
 
@@ -687,21 +691,30 @@ def normalize_text(spark, sf):
     return T.documents(spark, sf).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
-TOKENS_SQL = r"""WITH t AS (
+TOKENS_SQL = f"""WITH p AS (
+  SELECT page_id, replace(html, '<article>', {list(T.TEMPLATES)}[page_id % 4 + 1] || '<article>') AS html FROM pages
+), t AS (
   SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|</?[a-z][^>]*>|[^<]+|<') AS tokens
-  FROM pages
-), e AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM t)
-SELECT page_id, pos::INT AS pos,
-  CASE WHEN regexp_matches(token, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(token, '(?i)^<(script|style)') THEN 'raw'
-       WHEN regexp_matches(token, '^<[a-zA-Z]') THEN 'open' ELSE 'text' END AS kind,
-  lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name,
-  CASE WHEN regexp_matches(token, '^</?[a-zA-Z]') THEN '' ELSE token END AS text, 0 AS skip_depth
-FROM e WHERE NOT regexp_matches(token, '^<!')"""
+  FROM p
+), e AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM t),
+k AS (
+  SELECT page_id, pos::INT AS pos, token,
+    CASE WHEN regexp_matches(token, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(token, '(?i)^<(script|style)') THEN 'raw'
+         WHEN regexp_matches(token, '^<[a-zA-Z]') THEN 'open' ELSE 'text' END AS kind,
+    lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name
+  FROM e
+), s AS (
+  SELECT *, sum(CASE WHEN name NOT IN ('script', 'style', 'template') THEN 0 WHEN kind = 'open' THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END)
+    OVER (PARTITION BY page_id ORDER BY pos) AS level FROM k
+), d AS (SELECT *, least(0, min(level) OVER (PARTITION BY page_id ORDER BY pos)) AS lowest FROM s)
+SELECT page_id, pos, kind, name, CASE WHEN regexp_matches(token, '^</?[a-zA-Z]') THEN '' ELSE token END AS text,
+  (level - lowest)::INT AS skip_depth
+FROM d WHERE NOT regexp_matches(token, '^<!')"""
 
 
 @query("html_tokens", TOKENS_SQL)
 def html_tokens(spark, sf):
-    return extract.html_tokens(T.pages(spark, sf), "page_id")
+    return extract.html_tokens(T.templated_pages(spark, sf), "page_id")
 
 
 @query("html_to_text", f"SELECT page_id, {S.text_of('html')} AS text FROM pages")

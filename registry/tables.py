@@ -277,3 +277,20 @@ def described(frame: DataFrame) -> DataFrame:
     )
     head = F.concat(description, author, date, F.lit("</head>"))
     return frame.withColumn("html", F.replace(F.col("html"), F.lit("</head>"), head))
+
+
+#: By page_id modulo 4: nested templates, closing tags without an opening one, a template that is never closed, nothing.
+TEMPLATES = (
+    "<template><b>x</b><template>y</template>z</template>",
+    "</template>s<template>q</template></style>r",
+    "<template><template>u</template>",
+    "",
+)
+
+
+@functools.lru_cache(maxsize=None)
+def templated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with template elements before their article."""
+    before = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("page_id") % 4 + 1).cast("int"))
+    article = F.lit("<article>")
+    return pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), article, F.concat(before, article)))
