@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,42 +122,44 @@ def parse_for_expansion(documents: DataFrame) -> DataFrame:
 def expand_parsed(roots: DataFrame, parsed: DataFrame, max_depth: int = fixed.SITEMAP_INDEX_DEPTH) -> DataFrame:
     """``expand_sitemap_index`` over documents from ``parse_for_expansion``.
 
-    One join per index level, on parsed documents that are written once. Children that are missing from the documents or unreadable give
-    nothing. At the last level an index's child locations count as page URLs. Within one index, a URL
-    equal to the location of the same or an earlier child is dropped.
+    Children that are missing from the documents or unreadable give nothing. At the last level an index's child locations
+    count as page URLs. Within one index, a URL equal to the location of the same or an earlier child is dropped.
+
+    Going down, only (site_id, location) is kept, once a level however many indexes lead there; an index's children
+    are a table of their own. URLs that no opened index names as a child belong to every site that reaches their
+    document. Only the others go up again, level by level, through the indexes that let them pass.
     """
-    level = roots.select("site_id", "location", F.array().cast("array<struct<call:string,pos:int>>").alias("via"))
-    pages, calls = [], []
-    for depth in range(max_depth, -1, -1):
-        opened = materialize(level.join(parsed, "location"))
-        leaf = F.size("urls") > 0
-        if depth == 0:
-            urls = F.when(leaf, F.col("urls")).otherwise(F.col("children"))
-            pages.append(opened.select("site_id", "via", F.explode(urls).alias("url")))
-            break
-        pages.append(opened.select("site_id", "via", F.explode("urls").alias("url")))
-        # An index is called by the chain of locations that led to it.
-        call = F.concat_ws("\n", F.transform("via", lambda v: v["call"]), F.col("location"))
-        children = opened.where(~leaf).select(
-            "site_id", "via", call.alias("call"), F.posexplode("children").alias("pos", "child")
-        )
-        first = children.groupBy("site_id", "call", "child").agg(
-            F.min("pos").alias("pos"), F.first("via").alias("via")
-        )
-        calls.append(first.select("site_id", "call", F.col("child").alias("url"), F.col("pos").alias("seen_at")))
-        level = first.select(
-            "site_id",
-            F.col("child").alias("location"),
-            F.array_append("via", F.struct("call", "pos")).alias("via"),
+    leaf = F.size("urls") > 0
+    children = parsed.where(~leaf).select(F.col("location").alias("parent"), F.posexplode("children").alias("pos", "child"))
+    edges = materialize(children.where("child IS NOT NULL").groupBy("parent", "child").agg(F.min("pos").alias("pos")))
+    reached = [materialize(roots.select("site_id", "location").distinct())]
+    for _ in range(max_depth):
+        below = reached[-1].join(edges, F.col("location") == F.col("parent"))
+        reached.append(materialize(below.select("site_id", F.col("child").alias("location")).distinct()))
+
+    listed = F.col("urls")
+    last = F.when(leaf, F.col("urls")).otherwise(F.col("children"))
+    pages = [
+        sites.join(parsed.select("location", (last if level == max_depth else listed).alias("listed")), "location").select(
+            "site_id", "location", F.explode("listed").alias("url")
         )
-    found = pages[0]
-    for part in pages[1:]:
-        found = found.unionByName(part)
-    for index, seen in enumerate(calls):
-        step = F.get(F.col("via"), F.lit(index))
-        here = found.withColumn("call", step["call"]).withColumn("call_pos", step["pos"])
-        earlier = here.join(seen, ["site_id", "call", "url"], "left")
-        found = earlier.where(
-            F.col("seen_at").isNull() | F.col("call_pos").isNull() | (F.col("seen_at") > F.col("call_pos"))
-        ).drop("call", "call_pos", "seen_at")
-    return found.select("site_id", "url").distinct()
+        for level, sites in enumerate(reached)
+    ]
+    # What the last level lists is not opened, so its indexes drop nothing.
+    opened = _together([reached[0].where(F.lit(max_depth > 0)), *reached[1:-1]]).select(F.col("location").alias("parent"))
+    edges = materialize(edges.join(opened.distinct(), "parent", "left_semi"))
+    named = edges.select(F.col("child").alias("url")).distinct()
+    free = _together(pages).select("site_id", "url").join(named, "url", "left_anti").select("site_id", "url")
+    seen = edges.select("parent", F.col("child").alias("url"), F.col("pos").alias("seen_at"))
+    passing = pages[max_depth].join(named, "url", "left_semi").select("site_id", "location", "url")
+    for level in range(max_depth - 1, -1, -1):
+        calls = reached[level].select("site_id", F.col("location").alias("parent")).join(edges, "parent")
+        called = passing.distinct().join(calls.withColumnRenamed("child", "location"), ["site_id", "location"])
+        earlier = called.join(seen, ["parent", "url"], "left").where("seen_at IS NULL OR seen_at > pos")
+        own = pages[level].join(named, "url", "left_semi").select("site_id", "location", "url")
+        passing = own.unionByName(earlier.select("site_id", F.col("parent").alias("location"), "url"))
+    return free.unionByName(passing.select("site_id", "url")).distinct()
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
