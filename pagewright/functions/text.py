@@ -19,6 +19,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything but white space is in the text; looks no further than the first such character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) != ""
+
+
 def normalize_text(text: Column) -> Column:
     """Single spaces, no spaces around newlines, at most one empty line in a row; NULL gives ''."""
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))

@@ -184,8 +184,12 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=None)
 def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subdomain, body): one API description per part; every fifth is no JSON object."""
-    p = table(spark, sf_dir, "part")
+    """(subdomain, body): one API description per part; every fifth is no JSON object.
+
+    A part takes a few bytes in its file and its description some hundred operations, so the rows of one file,
+    which Spark cuts by bytes, are dealt out to the number of tasks that shuffles have in this session.
+    """
+    p = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     key = F.col("p_partkey")
     action = F.struct(
