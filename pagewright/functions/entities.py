@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: So much text at most is held as Python strings at a time, besides the Arrow batch itself.
+SLICE_BYTES = 1 << 22
+
 
 def _decoder(as_list: bool):
     """Arrow function over strings or lists of strings.
@@ -13,7 +16,25 @@ def _decoder(as_list: bool):
     Defined inside a function so that it is shipped by value: executors need no copy of this package.
     Declared non-deterministic only to keep the optimizer from pushing later filters below it, which
     would run the extraction once for the filter and once more for the result.
+
+    Texts become Python strings some megabytes at a time, however large a batch is, and what Arrow has freed goes
+    back to the system: a worker is reused, and so would otherwise keep the most that any batch ever took.
     """
+    at_once = SLICE_BYTES
+
+    def slices(values):
+        """(first, number) of runs of values that have ``at_once`` bytes at most, or one value."""
+        import bisect
+
+        import pyarrow.compute as pc
+
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(values), 0).cast("int64")).to_numpy()
+        first = 0
+        while first < len(values):
+            before = ends[first - 1] if first else 0
+            last = max(bisect.bisect_right(ends, before + at_once, first), first + 1)
+            yield first, last - first
+            first = last
 
     def decode(values):
         import html
@@ -21,11 +42,16 @@ def _decoder(as_list: bool):
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        pa.default_memory_pool().release_unused()
         marked = pc.fill_null(pc.match_substring(values, "&"), False)
         if not pc.any(marked).as_py():
             return values
-        decoded = [html.unescape(text) for text in values.filter(marked).to_pylist()]
-        return pc.replace_with_mask(values, marked, pa.array(decoded, values.type))
+        parts = []
+        for run in slices(values):
+            some, mask = values.slice(*run), marked.slice(*run)
+            decoded = pa.array((html.unescape(text.as_py()) for text in some.filter(mask)), values.type)
+            parts.append(pc.replace_with_mask(some, mask, decoded))
+        return pa.concat_arrays(parts)
 
     def decode_text(texts):
         return decode(texts)

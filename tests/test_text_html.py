@@ -1,7 +1,10 @@
 import random
 import re
 import time
+import tracemalloc
+from html import unescape
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,25 @@ def test_repetition_penalty(spark):
     assert values(spark, [t for t, _ in cases], text.repetition_penalty(F.col("html"))) == [n for _, n in cases]
 
 
+def test_decoding_holds_few_texts_at_a_time(monkeypatch):
+    """Texts of 36 MB in one batch never take 16 MB as Python strings; runs of any size decode alike."""
+    batch = pa.array(["word &amp; more of it " * 200] * 8000 + [None, "x"])
+    decode = entities._decoder(False).func
+    tracemalloc.start()
+    got = decode(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 and got[0].as_py() == "word & more of it " * 200 and got[-2:].to_pylist() == [None, "x"]
+    monkeypatch.setattr(entities, "SLICE_BYTES", 50)
+    rng = random.Random(3)
+    for _ in range(100):
+        texts = [rng.choice([None, "", "plain", "&amp;", "&lt;é&#128512;&notit;" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 30))]
+        wanted = [t if t is None else unescape(t) for t in texts]
+        assert entities._decoder(False).func(pa.array(["&"] + texts, pa.string())[1:]).to_pylist() == wanted
+        lists = pa.array([texts, None, [], texts[:5]], pa.list_(pa.string()))
+        assert entities._decoder(True).func(lists).to_pylist() == [wanted, None, [], wanted[:5]]
+
+
 def test_names(spark):
     urls = [" HTTPS://Ex.com/a_b/?q=1 ", "http://https://x", "///", "https://e.com/" + "a" * 70 + "/" + "b" * 40]
     assert values(spark, urls, text.slugify(F.col("html"))) == [
